@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import near_dup, repetition, split
+from . import leakage, lookalike, mixture, near_dup, qa_pairs, repetition, split
 
 
 def queries():
@@ -16,6 +16,13 @@ def queries():
         "p3_found": lambda s, d: repetition.found(t(s, d, "sample_chunks")),
         "p3_ledger": lambda s, d: repetition.repetition_ledger(t(s, d, "sample_chunks")),
         "p3_ablations": lambda s, d: repetition.ablations(repetition.repetition_ledger(t(s, d, "sample_chunks"))),
+        "p5_found": lambda s, d: lookalike.found(t(s, d, "sample_chunks")),
+        "p5_unified": lambda s, d: lookalike.unified(lookalike.fields(t(s, d, "sample_chunks"))),
+        "p7_found": lambda s, d: qa_pairs.found(t(s, d, "results_openai")),
+        "p8_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p8_leaks": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p9_mix": lambda s, d: mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p9_report": lambda s, d: mixture.report(mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets")), t(s, d, "mix_targets")),
     }
 
 
