@@ -19,6 +19,8 @@ feasible; the designs above are a fixed part of it. The README says so.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -80,12 +82,17 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return some, k.view(np.int64), sketch, size
 
 
-def jaccard(a: str, b: str) -> float:
+def elements(s: str) -> frozenset[str]:
+    return frozenset([s[i : i + GRAM] for i in range(len(s) - GRAM + 1)])
+
+
+def jaccard(a: str, b: str, of=elements) -> float:
     """Similarity of two folded texts; of texts without elements, 1 if they are equal."""
-    x = {a[i : i + GRAM] for i in range(len(a) - GRAM + 1)}
-    y = {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
+    x, y = of(a), of(b)
     if not x or not y:
         return float(a == b)
+    if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+        return 0.0
     n = len(x & y)
     return n / (len(x) + len(y) - n)
 
@@ -192,9 +199,10 @@ def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of the candidates that reach the threshold on their texts."""
 
     def run(it):
+        of = lru_cache(256)(elements)  # pairs of one text come one after the other
         for batch in it:
             ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            s = np.array([jaccard(x, y) for x, y in zip(ta, tb)], dtype=float)
+            s = np.array([jaccard(x, y, of) for x, y in zip(ta, tb)], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["a", "b", "similarity"])
 
     t = texts.select("tid", "text").dropDuplicates(["tid"])

@@ -46,7 +46,6 @@ _FUNCTION = {
 }
 _FUNCTION_SETS = {k: frozenset(v.split()) for k, v in _FUNCTION.items()}
 _END = re.compile(r"[.!?。？！…][\"'”’)\]」』>]*$")
-_KOREAN_END = re.compile(r"(?:다|요|까|죠|것|함|음|임|됨|점|자|오)$")
 
 
 def body(answer: str) -> str:
@@ -93,11 +92,12 @@ def language(s: str) -> str:
     return {"hangul": "ko", "han": "zh", "cyrillic": "ru", "kana": "ja"}.get(main, "other")
 
 
-def ends_within(raw: str, text: str) -> bool:
-    """Whether an answer seems to break off: no end mark, citation or source list closes it."""
+def ends_within(raw: str, text: str, suspect: bool) -> bool:
+    """Whether an answer breaks off: no end mark, citation or source list closes it. A closing Korean
+    ending without end mark passes, unless the answer is suspect by its length or its neighbour."""
     if _END.search(text) or _CITES.search(unify(raw).rstrip()) or _SOURCES.search(unify(raw)):
         return False
-    return not (_KOREAN_END.search(text) and not text[-2:-1].isdigit() and "\n" not in text and len(text) > 25 and _KOREAN_END.search(text).group() in "다요까죠")
+    return suspect or "\n" in text or re.search(r"[가-힣](?:다|요|까|죠)$", text) is None
 
 
 def classify(question: str | None, answer: str | None, shortened: bool, spike: bool) -> str | None:
@@ -117,10 +117,9 @@ def classify(question: str | None, answer: str | None, shortened: bool, spike: b
     lq, la = language(question or ""), language(text)
     if lq and la and lq != la and len(a) >= 8:
         return "other_language"
-    if ends_within(raw, text):
-        short = len(text) <= 20 and "\n" not in text and not (shortened and " " in text)
-        if not short or spike:
-            return "truncated"
+    short = len(text) <= 20 and "\n" not in text and not (shortened and " " in text)
+    if not short and ends_within(raw, text, spike or shortened):
+        return "truncated"
     return None
 
 
@@ -155,11 +154,11 @@ def prefix_flags(results: DataFrame) -> DataFrame:
     return flags.where("not at_end").select("answer_text", "shortened").union(edge.select("answer_text", F.coalesce("shortened", F.lit(False))))
 
 
-def spikes(results: DataFrame, reach: int = 12, times: float = 6.0, least: int = 12) -> DataFrame:
+def spikes(results: DataFrame, reach: int = 12, times: float = 6.0, least: int = 12, shortest: int = 40) -> DataFrame:
     """(n_chars): lengths at which far more distinct answers end than at the lengths around."""
     h = results.select("answer_text").distinct().groupBy(F.length("answer_text").alias("n_chars")).agg(F.count("*").alias("n"))
     around = W.orderBy("n_chars").rangeBetween(-reach, reach)  # one row per length
-    return h.withColumn("all", F.sum("n").over(around)).where((F.col("n") >= least) & (F.col("n") > times * (F.col("all") - F.col("n")) / (2 * reach))).select("n_chars")
+    return h.where(F.col("n_chars") >= shortest).withColumn("all", F.sum("n").over(around)).where((F.col("n") >= least) & (F.col("n") > times * (F.col("all") - F.col("n")) / (2 * reach))).select("n_chars")
 
 
 def defects(results: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import leakage, lookalike, mixture, near_dup, qa_pairs, repetition, split
+from . import leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, split
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "p3_ablations": lambda s, d: repetition.ablations(repetition.repetition_ledger(t(s, d, "sample_chunks"))),
         "p5_found": lambda s, d: lookalike.found(t(s, d, "sample_chunks")),
         "p5_unified": lambda s, d: lookalike.unified(lookalike.fields(t(s, d, "sample_chunks"))),
+        "p6_found": lambda s, d: names.found(t(s, d, "sample_chunks"), t(s, d, "questions")),
+        "p6_links": lambda s, d: names.link(names.observed_names(t(s, d, "sample_chunks"), t(s, d, "questions"))),
         "p7_found": lambda s, d: qa_pairs.found(t(s, d, "results_openai")),
         "p8_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_leaks": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
