@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, split
+from . import leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, split, toxicity
 
 
 def queries():
@@ -25,6 +25,9 @@ def queries():
         "p8_leaks": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_report": lambda s, d: mixture.report(mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets")), t(s, d, "mix_targets")),
+        "p10_found": lambda s, d: toxicity.found(t(s, d, "documents"), t(s, d, "review_labels")),
+        "p10_scores": lambda s, d: toxicity.scores(t(s, d, "documents"), t(s, d, "review_labels")),
+        "p10_rates": lambda s, d: toxicity.rates(toxicity.scores(t(s, d, "documents"), t(s, d, "review_labels"))),
     }
 
 
