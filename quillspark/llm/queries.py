@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, split, toxicity
+from . import leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, scans, split, toxicity
 
 
 def queries():
@@ -16,6 +16,8 @@ def queries():
         "p3_found": lambda s, d: repetition.found(t(s, d, "sample_chunks")),
         "p3_ledger": lambda s, d: repetition.repetition_ledger(t(s, d, "sample_chunks")),
         "p3_ablations": lambda s, d: repetition.ablations(repetition.repetition_ledger(t(s, d, "sample_chunks"))),
+        "p4_found": lambda s, d: scans.found(t(s, d, "image_records")),
+        "p4_repaired": lambda s, d: scans.repaired(t(s, d, "image_records")),
         "p5_found": lambda s, d: lookalike.found(t(s, d, "sample_chunks")),
         "p5_unified": lambda s, d: lookalike.unified(lookalike.fields(t(s, d, "sample_chunks"))),
         "p6_found": lambda s, d: names.found(t(s, d, "sample_chunks"), t(s, d, "questions")),

@@ -30,7 +30,7 @@ SLOTS, ORDERS, SEED = 1 << 20, (2, 3, 4), 11
 #: Features in more than this share of all documents are the corpus's own language and no evidence.
 COMMON = 0.005
 ROUNDS, EPOCHS, RATE, DECAY, SWAP_PENALTY, CLEAN_SENTENCES = 4, 6, 0.25, 2e-6, 0.05, 24_000
-BIAS, THRESHOLD = -5.0, 0.12
+BIAS, THRESHOLD = -5.0, 0.3
 
 # Words for groups of people, by language; sorted by form only, no statement about any group.
 GROUPS = {
