@@ -10,8 +10,9 @@ share a subset are candidates. A pair of similarity s shares the subset of one d
 probability s^4, so that one of similarity 0.65 is missed in 0.3 % and one of 0.75 in 0.001 % of
 cases; a 128-bit sketch then drops candidates far below the threshold. Large (heavy) sets, whose
 partners are large as well, are found by scanning the inverted lists of their rarest elements,
-which is exact. The boundary between both is the one of least estimated cost. Every remaining
-candidate is verified on its texts.
+which is exact. The boundary is chosen by estimated cost: as many of the largest sets are heavy as
+scanning takes a twentieth of the cost of enumerating. Every remaining candidate is verified on its
+texts.
 
 Full enumeration of the subsets that the overlap bound asks for (240 of 400 elements) is not
 feasible; the designs above are a fixed part of it. The README says so.
@@ -34,8 +35,9 @@ BANDS, SUBSET, SKETCH_BITS = 30, 4, 128
 #: Of SKETCH_BITS, as many may differ; for similarity 0.6 the mean is 25.6 and the deviation 4.5.
 MAX_DIFFERENT = 41
 #: For the choice of the boundary only: how often two prefix elements are equal, and the cost of one
-#: enumerated subset (hashing, shuffling, sorting) in units of one step along an inverted list.
-COLLISION, SUBSET_COST = 1.6e-5, 10.0
+#: enumerated subset or list entry (hashing, shuffling, sorting) in steps along an inverted list, and
+#: what scanning may cost beside enumerating.
+COLLISION, SUBSET_COST, SCAN_SHARE = 1.6e-5, 10.0, 0.05
 #: Counters for the rarity order of elements; it must be fixed, but need not be exact.
 RARITY_CELLS = 1 << 16
 _RNG = np.random.default_rng(20250101)
@@ -119,18 +121,18 @@ def folded_texts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def boundary(lengths: list[tuple[int, int, float]]) -> int:
-    """The size from which sets are heavy, of least estimated cost.
+    """The size from which sets are heavy: the least one at which scanning the lists costs no more than
+    SCAN_SHARE of enumerating the subsets of all sets.
 
     lengths: (least size of the class, number of sets, mean size), a bounded number of classes.
     """
     classes = sorted(lengths)
-    best, best_cost = 1 << 62, SUBSET_COST * BANDS * sum(c for _, c, _ in classes)
+    budget = SCAN_SHARE * SUBSET_COST * BANDS * sum(c for _, c, _ in classes)
     for s, _, _ in classes:
-        prefix = sum(c * m for a, c, m in classes if a >= THRESHOLD * s) * (1 - THRESHOLD)
-        cost = prefix + prefix * prefix * COLLISION / 2 + SUBSET_COST * BANDS * sum(c for a, c, _ in classes if a < s)
-        if cost < best_cost:
-            best, best_cost = s, cost
-    return best
+        prefix = (1 - THRESHOLD) * sum(c * m for a, c, m in classes if a >= THRESHOLD * s)
+        if SUBSET_COST * prefix + prefix * prefix * COLLISION / 2 <= budget:
+            return s
+    return 1 << 62
 
 
 def light_candidates(texts: DataFrame, heavy_from: int) -> DataFrame:

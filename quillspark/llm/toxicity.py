@@ -30,7 +30,7 @@ SLOTS, ORDERS, SEED = 1 << 20, (2, 3, 4), 11
 #: Features in more than this share of all documents are the corpus's own language and no evidence.
 COMMON = 0.005
 ROUNDS, EPOCHS, RATE, DECAY, SWAP_PENALTY, CLEAN_SENTENCES = 4, 6, 0.25, 2e-6, 0.05, 24_000
-BIAS, THRESHOLD = -5.0, 0.3
+BIAS, THRESHOLD = -5.0, 0.12
 
 # Words for groups of people, by language; sorted by form only, no statement about any group.
 GROUPS = {
@@ -61,12 +61,12 @@ _LEET[[ord(c) for c in "013457"]] = [ord(c) for c in "oieast"]
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number of each sentence, sentence number of each feature, slot of each feature)."""
     texts = [unify(t) for t in texts]
-    cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(cp) == 0:
-        return np.arange(1 if texts else 0), np.empty(0, np.int64), np.empty(0, np.int64)
-    cp = _LOWER[cp]
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    # every text is closed by a line end, so that it has a sentence even if it is empty
+    cp = _LOWER[np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
     lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    doc = np.repeat(np.arange(len(texts)), lens)[: len(cp)]
+    doc = np.repeat(np.arange(len(texts)), lens)
     line = cp == 10
     stop = (cp == 46) | (cp == 33) | (cp == 63) | (cp == 0x3002)
     space = line | (cp == 32) | (cp == 9) | (cp == 13)
@@ -195,7 +195,7 @@ _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n")
 
 
 def common_slots(documents: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Which slots occur in more than `share` of all documents.
+    """The share of all documents that a slot occurs in, where that exceeds `share`; else 0.
 
     A task reports the slots of at least half that share among its own documents, so that what it
     sends stays far below the number of slots; a slot is common if the reports add up to the share.
@@ -215,15 +215,32 @@ def common_slots(documents: DataFrame, share: float = COMMON) -> np.ndarray:
 
     sums = documents.where("text is not null").select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     total = sums.where("slot = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    got = sums.where("slot >= 0").crossJoin(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(3.0), share * F.col("total"))).select("slot").toPandas()  # SLOTS rows at most
-    common = np.zeros(SLOTS, bool)
-    common[got.slot.to_numpy(np.int64)] = True
+    got = sums.where("slot >= 0").crossJoin(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(3.0), share * F.col("total"))).select("slot", (F.col("n") / F.col("total")).alias("share")).toPandas()  # SLOTS rows at most
+    common = np.zeros(SLOTS)
+    common[got.slot.to_numpy(np.int64)] = got["share"].to_numpy(float)
     return common
 
 
+def evidence_free(labelled: list[tuple[str, str]], common: np.ndarray) -> np.ndarray:
+    """Which slots are the corpus's own language: common ones, but for those that labelled documents show
+    to be content of the bad kind, which may be common as well."""
+    count = np.zeros((2, SLOTS), np.int64)
+    texts = [t for t, _ in labelled]
+    bad = np.array([c != "clean" for _, c in labelled], bool)
+    for lo, hi in batches_by_size(texts, 400_000):
+        of, r, s = features(texts[lo:hi])
+        seen = np.unique(of[r] * SLOTS + s)
+        for k in (0, 1):
+            count[k] += np.bincount(seen[bad[lo:hi][seen // SLOTS] == bool(k)] % SLOTS, minlength=SLOTS)
+    clean_share = count[0] / max(1, (~bad).sum())
+    return (common > 0) & ~((count[1] >= 3) & (clean_share < 0.2 * common))
+
+
 def train(labelled: list[tuple[str, str]], common: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from (text, label) of documents, by alternating between sentences and model."""
+    """Weights from (text, label) of documents and the shares of common slots, by alternating between
+    sentences and model."""
     rng = np.random.default_rng(seed)
+    common = evidence_free(labelled, common)
     y_doc = np.array([CLASSES.index(c) for _, c in labelled] or [0])
     sentences, doc = [], []
     for i, (t, _) in enumerate(labelled):
