@@ -114,7 +114,7 @@ def evaluate(expression: str | None) -> tuple[float | None, str | None]:
             elif isinstance(node, ast.UnaryOp):
                 todo.append(_UNARY[type(node.op)](todo.pop()))
             else:
-                left, right = todo.pop(), todo.pop()
+                right, left = todo.pop(), todo.pop()
                 todo.append(_BINARY[type(node.op)](left, right))
         return float(todo.pop()), None
     except ZeroDivisionError:

@@ -118,7 +118,7 @@ def preservation(original, cleaned, values, duplicate_digits) -> Column:
 def amount_forms(value) -> Column:
     """A sum of money as it may stand in a text: as stored, its digits, and with thousands separators."""
     digits = F.regexp_replace(_col(value), "[^0-9]", "")
-    forms = F.array(_col(value), digits, F.format_number(digits.cast("double"), 0))
+    forms = F.array(_col(value), digits, F.format_number(digits.try_cast("double"), 0))
     return F.array_distinct(F.filter(forms, lambda x: x.isNotNull() & (x != "")))
 
 
