@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as ft
 from ..functions import text as fx
-from ..operators import chunking, evaluation, images, index, metadata, reports, retrieval
+from ..operators import chunking, evaluation, images, index, metadata, profile, reports, retrieval
 from ..session import table as t
 
 QUERIES: dict = {}
@@ -586,3 +586,19 @@ def _(s, d):
     # the expected documents of one question
     pick = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("doc")))), ";")
     return j.groupBy("question_id").agg(pick(F.col("got").isNotNull()).alias("found"), pick(F.col("got").isNull() & F.col("doc").isNotNull()).alias("missing"))
+
+
+@query("document_profile", """
+with t as (select doc_id, count(distinct record_id) as n_tables from table_records group by doc_id), i as (select doc_id, count(distinct record_id) filter (source_type = 'page_scan') as n_empty_pages, count(distinct record_id) filter (source_type <> 'page_scan') as n_images from image_records group by doc_id),
+d as (select doc_id, page_count as n_pages, coalesce(n_empty_pages, 0) as n_empty_pages, coalesce(n_tables, 0) as n_tables, coalesce(n_images, 0) as n_images from source_metadata left join t using (doc_id) left join i using (doc_id))
+select *, case when n_pages is null then 'not_checked' when n_pages > 0 and n_empty_pages >= n_pages then 'ocr_required' when n_empty_pages > 0 then 'review_required' else 'not_required' end as reading,
+ case when n_tables > 0 and n_images > 0 then 'table_and_image_review_required' when n_images > 0 then 'image_ocr_review_required' when n_tables > 0 then 'table_extraction_review_required' else 'not_required' end as visual from d""")
+def _(s, d):
+    return profile.document_profile(t(s, d, "source_metadata"), t(s, d, "table_records"), t(s, d, "image_records"))
+
+
+@query("read_texts", """
+select doc_id, count(*) as n_texts, sha256(string_agg(regexp_replace(ocr_text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) order by image_number, record_id)) as text_sha256 from image_records where vlm_status = 'applied' and trim(coalesce(ocr_text, '')) <> '' group by doc_id""")
+def _(s, d):
+    r = profile.read_texts(t(s, d, "image_records"))
+    return r.select("doc_id", F.size("texts").alias("n_texts"), F.sha2(F.array_join("texts", "\n\n"), 256).alias("text_sha256"))

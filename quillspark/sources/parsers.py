@@ -118,3 +118,26 @@ def answer(df: DataFrame, model: AnswerModel, prompt: str = "prompt", context: s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([got.get(i, nothing) for i in range(len(p))], pa.string())], names=[*names, "answer"])
 
     return df.mapInArrow(run, schema)
+
+
+def condense(df: DataFrame, model: AnswerModel, question: str = "question", history: str = "history") -> DataFrame:
+    """df with `standalone`: the question as it is without history (array<struct<question,answer>>), else as the
+    model rewrites it with the turns before it."""
+    names = df.columns
+    schema = df.withColumn("standalone", F.lit("")).schema
+
+    def run(it):
+        for b in it:
+            q, h = b.column(names.index(question)).to_pylist(), b.column(names.index(history)).to_pylist()
+            ask = [i for i, x in enumerate(h) if x]
+            prompts = ["\n".join([*(f"Q: {t['question']}\nA: {t['answer']}" for t in h[i]), f"Q: {q[i]}"]) for i in ask]
+            got = dict(zip(ask, model(prompts) if ask else []))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([got.get(i, x) for i, x in enumerate(q)], pa.string())], names=[*names, "standalone"])
+
+    return df.mapInArrow(run, schema)
+
+
+def call_settings(model: str, settings: dict, fixed_sampling: tuple[str, ...] = ("gpt-5", "o1", "o3", "o4")) -> dict:
+    """The parameters of a call: models whose sampling is fixed take an effort in place of temperature and top_p."""
+    keys = ("reasoning_effort",) if model.startswith(fixed_sampling) else ("temperature", "top_p")
+    return {"model": model, "max_tokens": settings["max_tokens"], **{k: settings[k] for k in keys}}

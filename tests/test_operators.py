@@ -334,3 +334,17 @@ def test_answers(spark):
     df = spark.createDataFrame([("p1", "맥락"), ("p2", " "), ("p3", None)], "prompt string, context string")
     got = [r.answer for r in parsers.answer(df, lambda ps: [p.upper() for p in ps]).collect()]
     assert got[0] == "P1" and got[1] == got[2] != ""
+
+
+def test_condensing_and_merging(spark):
+    from quillspark.operators import profile
+
+    df = spark.createDataFrame([("q1", []), ("q2", [("a", "b")]), ("q3", None)], "question string, history array<struct<question:string,answer:string>>")
+    assert [r.standalone for r in parsers.condense(df, lambda ps: [p.replace("\n", "/") for p in ps]).collect()] == ["q1", "Q: a/A: b/Q: q2", "q3"]
+    s = {"max_tokens": 9, "temperature": 0.1, "top_p": 1, "reasoning_effort": "low"}
+    assert parsers.call_settings("gpt-5-x", s) == {"model": "gpt-5-x", "max_tokens": 9, "reasoning_effort": "low"}
+    assert parsers.call_settings("other", s) == {"model": "other", "max_tokens": 9, "temperature": 0.1, "top_p": 1}
+    m = spark.createDataFrame([(" x ", [" a ", " ", "b"]), (" x ", None), (None, ["a"])], "t string, o array<string>")
+    assert [r[0] for r in m.select(profile.merge_read_texts(F.col("t"), F.col("o"))).collect()] == ["x\n\n[OCR image/table text]\n\na\n\nb", "x", "[OCR image/table text]\n\na"]
+    c = profile.call_totals(spark.createDataFrame([("m", 1, 2, 0.5, 3.0), ("m", 1, 2, 0.5, 5.0)], "model string, tokens_in int, tokens_out int, cost double, seconds double"), "model").first()
+    assert (c.n_calls, c.tokens_in, c.cost, c.mean_seconds) == (2, 2, 1.0, 4.0)
