@@ -8,7 +8,7 @@ joined through enumerated subsets of fixed size: each set gives, for each of BAN
 subset of SUBSET of its elements that follow SUBSET fixed points on the hash circle, and sets that
 share a subset are candidates. A pair of similarity s shares the subset of one design with
 probability s^4, so that one of similarity 0.65 is missed in 0.3 % and one of 0.75 in 0.001 % of
-cases; a 128-bit sketch then drops candidates far below the threshold. Large (heavy) sets, whose
+cases; a 192-bit sketch then drops candidates far below the threshold. Large (heavy) sets, whose
 partners are large as well, are found by scanning the inverted lists of their rarest elements,
 which is exact. The boundary is chosen by estimated cost: as many of the largest sets are heavy as
 scanning takes a twentieth of the cost of enumerating. Every remaining candidate is verified on its
@@ -31,9 +31,9 @@ from .components import connected_components
 from .fold import batches_by_size, code_points, fold, gram_hashes, mix
 
 GRAM, THRESHOLD = 5, 0.6
-BANDS, SUBSET, SKETCH_BITS = 30, 4, 128
-#: Of SKETCH_BITS, as many may differ; for similarity 0.6 the mean is 25.6 and the deviation 4.5.
-MAX_DIFFERENT = 41
+BANDS, SUBSET, SKETCH_BITS = 30, 4, 192
+#: Of SKETCH_BITS, as many may differ; for similarity 0.6 the mean is 38.4 and the deviation 5.5.
+MAX_DIFFERENT = 58
 #: For the choice of the boundary only: how often two prefix elements are equal, and the cost of one
 #: enumerated subset or list entry (hashing, shuffling, sorting) in steps along an inverted list, and
 #: what scanning may cost beside enumerating.
@@ -65,11 +65,11 @@ def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(which texts have elements, subset keys by design, two words of the sketch, set sizes)."""
+    """(which texts have elements, subset keys by design, three words of the sketch, set sizes)."""
     key, start, size = gram_sets(texts)
     some = np.flatnonzero(size > 0)
     if len(some) == 0:
-        return some, np.empty((0, BANDS), np.int64), np.empty((0, 2), np.int64), size
+        return some, np.empty((0, BANDS), np.int64), np.empty((0, 3), np.int64), size
     at = np.searchsorted(key, (some.astype(np.uint64)[:, None] << np.uint64(48)) | _POINTS[None, :])
     end = (start + size)[some][:, None]
     at = np.where(at >= end, start[some][:, None], at)  # past the last element: around to the first
@@ -148,11 +148,11 @@ def light_candidates(texts: DataFrame, heavy_from: int) -> DataFrame:
                 if len(some) == 0:
                     continue
                 rep = lambda x: pa.array(np.repeat(x, BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(sub.ravel()), rep(keys[a:b][some]), rep(sketch[:, 0]), rep(sketch[:, 1])], names=["k", "tid", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(sub.ravel()), rep(keys[a:b][some]), rep(sketch[:, 0]), rep(sketch[:, 1]), rep(sketch[:, 2])], names=["k", "tid", "s1", "s2", "s3"])
 
-    sets = texts.select("tid", "text").mapInArrow(run, "k long, tid long, s1 long, s2 long")
+    sets = texts.select("tid", "text").mapInArrow(run, "k long, tid long, s1 long, s2 long, s3 long")
     a, b = sets.alias("a"), sets.alias("b")
-    apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    apart = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("s1", "s2", "s3"))
     return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.tid") < F.col("b.tid")) & (apart <= MAX_DIFFERENT)).select(F.col("a.tid").alias("a"), F.col("b.tid").alias("b")).distinct()
 
 
