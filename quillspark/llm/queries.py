@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, scans, split, toxicity
+from . import fold, leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, scans, split, toxicity
 
 
 def queries():
@@ -33,5 +33,51 @@ def queries():
     }
 
 
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LETTERS = r"regexp_replace(lower(%s), '[^\p{L}\p{N}]', '', 'g')"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _unified(value: str) -> str:
+    """SQL for the one form of a text: the replacements of fold.FULL, then composition."""
+    single = {chr(k): v for k, v in fold.FULL.items() if v is not None and len(v) == 1}
+    gone = "".join(chr(k) for k, v in fold.FULL.items() if v is None)
+    for k, v in sorted(fold.FULL.items()):
+        if v is not None and len(v) > 1:
+            value = f"replace({value}, {_quoted(chr(k))}, {_quoted(v)})"
+    return f"nfc_normalize(translate({value}, {_quoted(''.join(single) + gone)}, {_quoted(''.join(single.values()))}))"
+
+
 def oracle_sql():
-    return {}
+    """SQL for what SQL can say; the others are tested against brute force, round trips or held-out labels."""
+    strip = lambda x: f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    return {
+        "p1_found": rf"""
+with t as (select distinct chunk_id, text from sample_chunks where length(text) > 800),
+u as (select chunk_id, unnest(string_split_regex(regexp_replace(text, '([.!?]){_SPACE}+', '\1' || chr(10), 'g'), '\r?\n')) as u from t),
+m as (select distinct record_id, table_markdown as s from table_records where length(table_markdown) > 800),
+l as (select record_id, string_split_regex(s, '\r\n|\n|\r') as l, case when contains(s, chr(13) || chr(10)) then 2 else 1 end as e from m),
+h as (select record_id, l, e, len(l) > 1 and regexp_matches(trim(l[2]), '^\|?\s*:?-{{3,}}:?\s*(\|\s*:?-{{3,}}:?\s*)*\|?\s*$') as sep from l),
+r as (select record_id, length(l[1]) + e + case when sep then length(l[2]) + e else 0 end as head, list_filter(l[case when sep then 3 else 2 end:], lambda x: trim(x) <> '') as rows, e from h)
+select 'text' as item_kind, chunk_id as item_id, case when max(length({strip('u')})) > 800 then 'forced' else 'natural' end as cut_kind from u group by chunk_id
+union all select 'table', record_id::varchar, case when coalesce(list_max(list_transform(rows, lambda x: head + length(x))), head - e) > 800 then 'forced' else 'natural' end from r""",
+        "p3_found": rf"""
+with s as (select chunk_id, {_LETTERS % _unified('text')} as s from (select distinct chunk_id, text from sample_chunks where text is not null)),
+p as (select chunk_id, length(s) as n, s, unnest(generate_series(1, length(s) - 11)) as i from s where length(s) >= 12),
+f as (select chunk_id, n, i, min(i) over (partition by chunk_id, substring(s, i, 12)) as first from p),
+c as (select distinct chunk_id, n, unnest(generate_series(i, i + 11)) as at from f where first < i)
+select chunk_id from c group by chunk_id, n having count(*) >= 0.3 * n""",
+        "p5_found": f"""
+with v as (select distinct 'text' as field_name, chunk_id as id, text as value from sample_chunks union select distinct 'project_name', doc_id, metadata['project_name'] from sample_chunks),
+u as (select field_name, id, value, {_unified('value')} as form from v where value is not null and id is not null)
+select distinct a.field_name, a.id as id_a, b.id as id_b from u a join u b on a.field_name = b.field_name and a.form = b.form and a.value <> b.value and a.id < b.id""",
+        "p8_found": rf"""
+with i as (select item_id, {_LETTERS % 'text'} as s from eval_items where text is not null), d as (select doc_id, {_LETTERS % 'text'} as s from documents where text is not null),
+ig as (select distinct item_id, substring(s, k, 12) as g from (select item_id, s, unnest(generate_series(1, length(s) - 11)) as k from i where length(s) >= 12)),
+dg as (select distinct doc_id, substring(s, k, 12) as g from (select doc_id, s, unnest(generate_series(1, length(s) - 11)) as k from d where length(s) >= 12)),
+n as (select item_id, count(*) as n from ig group by item_id)
+select doc_id, item_id from dg join ig using (g) join n using (item_id) group by doc_id, item_id, n having count(*) >= 0.5 * n""",
+    }
