@@ -55,10 +55,11 @@ def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFram
 
 def plan(totals: dict[str, int], targets: list[tuple[str, float, int]], size: int | None = None) -> dict[str, tuple[int, int]]:
     """source -> (whole epochs, tokens of the last part). Without a size, the largest mixture that
-    meets every share; with one, sources short of tokens give all they may."""
+    meets every share that can be met: a source without any tokens gives nothing and does not bound the
+    others. With a size, sources short of tokens give all they may."""
     live = [(s, w, r) for s, w, r in targets if w and w > 0 and r and r > 0]
     if size is None:
-        size = int(min((totals.get(s, 0) * r / w for s, w, r in live), default=0))
+        size = int(min((totals[s] * r / w for s, w, r in live if totals.get(s)), default=0))
     out = {}
     for s, w, r in live:
         n = totals.get(s, 0)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from .fold import unify
 
-RADIUS, PIVOTS = 2, 64
+RADIUS, PIVOTS, MOST_PIVOTS = 2, 64, 1024
 
 # Kinds of organisations, the short forms that people use, and the English name.
 KINDS = {
@@ -159,18 +159,20 @@ def variants(s: str) -> list[tuple[str, int]]:
     return sorted(out.items())
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: int, pivots: int = PIVOTS) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius: int, pivots: int | None = None) -> DataFrame:
     """(left key, right key, distance) of all pairs of strings within the radius of the edit metric.
 
-    Both sides have the columns key and s. Complete: see the module's text. The pivots are at most
-    `pivots` strings of the right side, those of least hash.
+    Both sides have the columns key and s. Complete: see the module's text. The pivots are strings of
+    the right side, those of least hash; without a number, the root of its size, from PIVOTS to MOST_PIVOTS.
     """
+    if pivots is None:
+        pivots = int(min(MOST_PIVOTS, max(PIVOTS, right.count() ** 0.5)))
     chosen = [r.s for r in right.select("s").distinct().orderBy(F.xxhash64("s"), "s").limit(pivots).collect()] or [""]
     far = lambda: F.transform(F.array(*map(F.lit, chosen)), lambda p: F.levenshtein(F.col("s"), p))
     cells = right.select("key", "s", far().alias("d")).select(F.col("key").alias("rk"), F.col("s").alias("rs"), F.array_position("d", F.array_min("d")).alias("cell"))
-    near = left.select("key", "s", far().alias("d")).select(
+    near = left.select("key", "s", far().alias("d")).withColumn("least", F.array_min("d")).select(
         F.col("key").alias("lk"), F.col("s").alias("ls"),
-        F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(chosen))), lambda i: F.element_at("d", i) <= F.array_min("d") + 2 * radius)).alias("cell"),
+        F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(chosen))), lambda i: F.element_at("d", i) <= F.col("least") + 2 * radius)).alias("cell"),
     )
     both = near.join(cells.withColumn("cell", F.col("cell").cast("int")), "cell").where(F.abs(F.length("ls") - F.length("rs")) <= radius)
     return both.withColumn("distance", F.levenshtein("ls", "rs", radius)).where("distance >= 0").select("lk", "rk", "distance")

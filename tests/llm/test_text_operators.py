@@ -231,3 +231,4 @@ def test_mixture_reaches_its_shares(spark):
 def test_plan():
     assert mixture.plan({"a": 100, "b": 10}, [("a", 0.5, 1), ("b", 0.5, 3)]) == {"a": (0, 30), "b": (3, 0)}
     assert mixture.plan({}, [("a", 1.0, 1)]) == {"a": (0, 0)}
+    assert mixture.plan({"a": 100}, [("a", 0.5, 1), ("b", 0.5, 3)]) == {"a": (1, 0), "b": (0, 0)}
