@@ -221,7 +221,8 @@ class NearDuplicates:
         """Null and blank texts and null ids take no part; rows repeated with one id count once;
         texts shorter than 5 characters have no elements and match only equal texts."""
         all_rows = materialize(folded_texts(records, id_col, text_col), "folded")
-        self.members = all_rows.select("id", "tid").distinct()
+        # by text, so that the joins below need no further exchange
+        self.members = all_rows.select("id", "tid").repartition("tid").distinct()
         texts = all_rows.where("text is not null").select("tid", "n", "text")
         classes = texts.groupBy(F.floor(F.log2(F.col("n") + 1) * 8).alias("c")).agg(F.min("n"), F.count("*"), F.avg("n")).collect()  # 8 per doubling
         self.heavy_from = boundary([(r[1], r[2], r[3]) for r in classes])
