@@ -6,16 +6,27 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.tables import image_headline
 from ..functions.text import _col, split_lines, windows
+from ..session import materialize
 
 CHUNK_SIZE, CHUNK_OVERLAP, TABLE_SIZE, IMAGE_SIZE = 800, 120, 800, 800
 REQUIRED = ("chunk_id", "doc_id", "text")
 REQUIRED_METADATA = ("title", "project_name", "agency", "file_name")
 
 
-def number_parts(df: DataFrame, key: str, order: list, pattern: str, out: str = "chunk_id") -> DataFrame:
-    """df with ids like doc_chunk_0001: numbers run on within each key in the given order."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.withColumn("part_no", n).withColumn(out, F.format_string(f"%s{pattern}%04d", F.col(key), F.col("part_no")))
+def number_parts(df: DataFrame, key: str, order: list[str], pattern: str, out: str = "chunk_id") -> DataFrame:
+    """df with ids like doc_chunk_0001: numbers run on within each key in the given order, which must tell
+    the rows of a key apart.
+
+    The rows are put into ranges of key and order, numbered inside the ranges, and carried on by the
+    ranges' sizes, so that a key with a large share of all rows is not numbered by one task.
+    """
+    r = materialize(df.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id()), "numbered")
+    sizes = r.groupBy(F.col(key).alias("__key"), F.col("__range").alias("__at")).agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(W.partitionBy("__key").orderBy("__at").rowsBetween(W.unboundedPreceding, -1))  # a row per range that a key touches
+    before = sizes.select("__key", "__at", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    inside = r.withColumn("__i", F.row_number().over(W.partitionBy(key, "__range").orderBy(*order)))
+    n = inside.join(before, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__at"))).withColumn("part_no", F.col("__before") + F.col("__i"))
+    return n.withColumn(out, F.format_string(f"%s{pattern}%04d", F.col(key), F.col("part_no"))).drop("__key", "__at", "__before", "__i", "__range")
 
 
 def body_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TEXT_FIELDS = ("project_name", "title", "agency", "notice_number", "notice_round", "budget", "summary")
 
@@ -80,10 +80,14 @@ def first_difference(chunks: DataFrame, meta: DataFrame, fields: tuple[str, ...]
     return j.select("chunk_id", "doc_id", F.get(bad, F.lit(0)).alias("d")).where("d is not null").select("chunk_id", "doc_id", "d.*")
 
 
-def first_seen(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """df with `status`: 'ok' for the first row of each key in the order, 'duplicate' for the later ones."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("status", F.when(n == 1, "ok").otherwise("duplicate"))
+def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with `status`: 'ok' for the first row of each key in the order, 'duplicate' for the later ones. The
+    order must tell the rows of a key apart; rows alike in it are all 'ok'. The first rows are found by a
+    grouped minimum, so that no task sorts a whole group."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    at = F.struct(*[F.col(f"l.{o}") for o in order])
+    return df.alias("l").join(first.alias("r"), same).select("l.*", F.when(at.eqNullSafe(F.col("r.__first")), "ok").otherwise("duplicate").alias("status"))
 
 
 def budget_amount(c) -> Column:

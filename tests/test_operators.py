@@ -54,6 +54,18 @@ def test_packing_matches_brute_force(spark):
     assert [r[2] for r in got] == [lines_brute(t, 60) for t in texts]
 
 
+def test_numbers_run_on_over_ranges(spark):
+    rows = [("hot" if i % 3 else f"k{i % 7}", i, i * 7919 % 1000) for i in range(1000)] + [(None, 1, 5), (None, 2, 6)]
+    df = spark.createDataFrame(rows, "doc_id string, i int, o int").repartition(5)
+    got = chunking.number_parts(df, "doc_id", ["o", "i"], "_t_").collect()
+    want = {}
+    for k, i, o in sorted(rows, key=lambda r: (r[0] or "", r[2], r[1])):
+        want[k] = want.get(k, []) + [i]
+    assert len(got) == len(rows)
+    for r in got:
+        assert want[r.doc_id][r.part_no - 1] == r.i and r.chunk_id == f"{r.doc_id or 'null'}_t_{r.part_no:04d}"
+
+
 def test_sections(spark):
     df = spark.createDataFrame([("d1", "통째", [("개요", "가" * 1000), ("", "나")]), ("d2", "통째", []), ("d3", "통째", None)], "doc_id string, text string, sections array<struct<title:string,text:string>>")
     got = {r.chunk_id: r for r in chunking.section_chunks(df).collect()}
