@@ -200,8 +200,8 @@ def link(names: DataFrame, radius: int = RADIUS) -> DataFrame:
                 s = normal(name)
                 place, kind = parse(s) or (None, None)
                 other = sorted({x[0] for v in slips(s) if (x := parse(v))} - {place}) if place else []
-                if place and len(place) > 3:  # the rest may be the misspelled head of a longer kind
-                    other += [place[:k] for k in range(2, len(place))]
+                if place and len(place) > 3:  # the rest may be misspelled: the head of a longer kind, or a word of legal form
+                    other += [place[:k] for k in range(2, len(place))] + [place[k:] for k in range(1, len(place) - 1)]
                 rows.append((name, place, kind, [{"s": v, "cost": c} for v, c in variants(s)] if s else [], other))
             cols = list(zip(*rows)) or [()] * 5
             t = pa.list_(pa.struct([("s", pa.string()), ("cost", pa.int32())]))
