@@ -97,7 +97,8 @@ def ends_within(raw: str, text: str, suspect: bool) -> bool:
     ending without end mark passes, unless the answer is suspect by its length or its neighbour."""
     if _END.search(text) or _CITES.search(unify(raw).rstrip()) or _SOURCES.search(unify(raw)):
         return False
-    return suspect or "\n" in text or re.search(r"[가-힣](?:다|요|까|죠)$", text) is None
+    # one that closes its other sentences with a mark would close the last one too
+    return suspect or "\n" in text or re.search(r"[.!?]\s", text) is not None or re.search(r"[가-힣](?:다|요|까|죠)$", text) is None
 
 
 def classify(question: str | None, answer: str | None, shortened: bool, spike: bool) -> str | None:
