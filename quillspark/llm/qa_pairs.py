@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -28,6 +29,7 @@ _NOTHING = {"", "na", "null", "none", "nan", "nil", "없음", "undefined", "tbd"
 _REFUSAL = re.compile(
     r"답변\s*(?:을\s*)?드릴 수 없|답변\s*드리기 (?:곤란|어렵)|답변을 거[절부]|말씀\s*드리기 (?:곤란|어렵)|말씀\s*드릴 수 없|도와\s*드릴 수 없|도와\s*드리기 (?:곤란|어렵)"
     r"|(?:조언|정보|답변|도움|의견|안내)(?:은|는|을|를)? 드리기 (?:곤란|어렵)|제공하지 않겠|제공해 드릴 수 없|제공할 수 없는 (?:정보|내용|주제)|응답하지 않도록|응답할 수 없|대답할 수 없|대답하지 않"
+    r"|AI (?:언어 )?모델(?:이므로|로서|이라|이기|이어서|입니다)|인공지능(?: 모델)?(?:이므로|으로서|이라|이기)|판단을 내릴 수 없|판단할 수 없는 (?:주제|내용)"
     r"|수행할 수 있는 범위를 벗어|제 (?:역할|능력|권한) 밖|요청(?:에는|은|을) (?:따를|수행할|처리할|들어\s*드릴) 수 없|정책(?:상|에 따라) [^.]{0,30}(?:없|않)"
     r"|i(?:'|’)?m sorry,? but i|i am sorry,? but i|i (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|am not able to|am unable to|must decline|have to decline|decline to)\b|i(?:'|’)?m (?:unable|not able) to"
     r"|as an ai (?:language )?model|申し訳|お答えできません|回答できません|お手伝いできません|抱歉|无法(?:回答|提供|协助)|不能(?:回答|提供)|lo siento|no puedo (?:ayudar|responder)|es tut mir leid|ich kann (?:das|diese|dabei|ihnen)[^.]{0,40}nicht|désolé|je ne peux pas|xin lỗi|tôi không thể|к сожалению|не могу (?:ответить|помочь)",
@@ -113,6 +115,9 @@ def classify(question: str | None, answer: str | None, shortened: bool, spike: b
         return "copy"
     if len(a) >= 12 and a in q and len(a) >= 0.8 * len(q):
         return "copy"
+    # the question in slightly other words at its end
+    if len(q) >= 12 and len(a) <= len(q) + 8 and len(commonprefix([a, q])) >= 0.85 * len(q):
+        return "copy"
     if _REFUSAL.search(text):
         return "refusal"
     lq, la = language(question or ""), language(text)

@@ -166,6 +166,7 @@ Q = "찬호로 사업의 기숙사 기술 지원은 누가 승인하지?"
 @pytest.mark.parametrize("answer,defect", [
     (None, "empty"), ("  ​", "empty"), ("답변:", "empty"), ("N/A", "empty"), ("[1]", "empty"), ("참고 문서: [1] 찬호로시청_사업.hwp", "empty"), ("...", "empty"),
     (Q, "copy"), (f'"{Q}"', "copy"), (f"질문: {Q}", "copy"), (f"질문하신 내용({Q})에 대한 답입니다.\n1. 운영자가 승인한다.", None),
+    (Q.replace("승인하지?", "승인하나요.."), "copy"), ("저는 AI 언어 모델이므로 하자보수에 대한 판단을 내릴 수 없습니다.", "refusal"),
     ("죄송하지만 해당 요청에는 답변드릴 수 없습니다.", "refusal"), ("I'm sorry, but I can't help with that request.", "refusal"), ("문서에 해당 항목이 명시되어 있지 않아 확인이 어렵습니다.", None),
     ("El contratista debe revisar OTP cada 16 días y entregar registros antes del cierre. [1]", "other_language"), ("提案者はOTPの試験を7回実施し、報告書を提出しなければなりません。", "other_language"),
     ("UPS·PMO 연계는 REST ERP gateway와 backup-plan 구성을 쓰며 운영자가 승인한다. [2]", None),
