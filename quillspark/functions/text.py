@@ -32,11 +32,12 @@ def squeeze(text) -> Column:
     return F.trim(F.regexp_replace(_col(text), WHITE, " "))
 
 
-def windows(text, size: int = 800, overlap: int = 120) -> Column:
+def windows(text, size: int = 800, overlap: int = 120, squeezed: bool = False) -> Column:
     """array<struct<part,start,text>>: windows of `size` characters of the squeezed text; each begins
-    `overlap` before the end of the last one. An empty text has none."""
+    `overlap` before the end of the last one. An empty text has none. Squeezing is repeated per window
+    unless the text is a column that is `squeezed` already."""
     step = max(size - overlap, 1)
-    s = squeeze(text)
+    s = _col(text) if squeezed else squeeze(text)
     n = F.length(s)
     count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
     many = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))

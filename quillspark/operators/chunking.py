@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.tables import image_headline
-from ..functions.text import _col, split_lines, windows
+from ..functions.text import _col, split_lines, squeeze, windows
 from ..session import materialize
 
 CHUNK_SIZE, CHUNK_OVERLAP, TABLE_SIZE, IMAGE_SIZE = 800, 120, 800, 800
@@ -32,16 +32,20 @@ def number_parts(df: DataFrame, key: str, order: list[str], pattern: str, out: s
 def body_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(key, chunk_id, part_no, text) windows of whole texts. Null and blank texts have no chunk. The
     windows of a text are numbered inside its row, without a shuffle: keys must be unique."""
-    parts = docs.select(F.col(key), F.explode(windows(text, size, overlap)).alias("w"))
+    s = docs.select(F.col(key), squeeze(text).alias("__s"))
+    parts = s.select(F.col(key), F.explode(windows("__s", size, overlap, squeezed=True)).alias("w"))
     return parts.select(key, F.format_string("%s_chunk_%04d", F.col(key).cast("string"), F.col("w.part")).alias("chunk_id"), F.col("w.part").alias("part_no"), F.col("w.text").alias("text"))
 
 
 def section_chunks(docs: DataFrame, key: str = "doc_id", sections: str = "sections", text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks of array<struct<title,text>> with the section's title as first line and column; numbers run
     on over the sections. Documents without sections are cut as a whole."""
+    kind = "array<struct<title:string,text:string>>"
     whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col(text).alias("text")))
-    s = F.when(F.size(F.coalesce(F.col(sections), F.array().cast("array<struct<title:string,text:string>>"))) > 0, F.col(sections)).otherwise(whole)
-    cut = F.flatten(F.transform(s, lambda x: F.transform(windows(x["text"], size, overlap), lambda w: F.struct(F.nullif(x["title"], F.lit("")).alias("section_title"), w["text"].alias("text")))))
+    given = F.coalesce(F.col(sections), F.array().cast(kind))
+    tidy = F.transform(F.when(F.size(given) > 0, given).otherwise(whole), lambda x: F.struct(F.nullif(x["title"], F.lit("")).alias("title"), squeeze(x["text"]).alias("text")))
+    docs = docs.select(key, tidy.alias("__s"))
+    cut = F.flatten(F.transform("__s", lambda x: F.transform(windows(x["text"], size, overlap, squeezed=True), lambda w: F.struct(x["title"].alias("section_title"), w["text"].alias("text")))))
     p = docs.select(key, F.posexplode(cut).alias("i", "c"))
     body = F.when(F.col("c.section_title").isNotNull(), F.concat(F.lit("["), F.col("c.section_title"), F.lit("]\n"), F.col("c.text"))).otherwise(F.col("c.text"))
     return p.select(key, F.format_string("%s_chunk_%04d", F.col(key), F.col("i") + 1).alias("chunk_id"), "c.section_title", body.alias("text"))
