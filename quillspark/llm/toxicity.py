@@ -18,13 +18,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .fold import ALNUM, batches_by_size, mix, unify
 
 CLASSES = ("clean", "abusive", "hateful", "sexual")
 #: The most labelled documents that the model is fitted on; beyond, those of least hash are taken,
-#: and of labels other than clean first.
+#: half of them clean and half of other labels as far as there are so many.
 LABELLED_ROWS = 8000
 SLOTS, ORDERS, SEED = 1 << 20, (2, 3, 4), 11
 #: Features in more than this share of all documents are the corpus's own language and no evidence.
@@ -312,11 +312,17 @@ def train(labelled: list[tuple[str, str]], common: np.ndarray, seed: int = SEED)
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[tuple[str, str]]:
     """At most `rows` labelled documents as (text, label): the label most reviewers gave, ties to the
-    later one in the order of CLASSES; labels that are none of CLASSES are left out."""
+    later one in the order of CLASSES; labels that are none of CLASSES are left out.
+
+    Clean documents and others take turns by hash, so that either has half of the sample at least, or
+    all of its documents, whatever the number of labels."""
     order = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("label"))
     votes = labels.where(F.col("label").isin(*CLASSES) & F.col("doc_id").isNotNull()).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     one = votes.groupBy("doc_id").agg(F.max_by("label", F.struct("n", order)).alias("label"))
-    some = one.orderBy(F.col("label") == "clean", F.xxhash64("doc_id"), "doc_id").limit(rows)
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sides = [one.where(side).orderBy(*by_hash).limit(rows) for side in (F.col("label") != "clean", F.col("label") == "clean")]
+    turn = F.row_number().over(W.partitionBy(F.col("label") == "clean").orderBy(*by_hash))  # over 2 * rows at most
+    some = sides[0].union(sides[1]).withColumn("turn", turn).orderBy("turn", F.col("label") == "clean").limit(rows).select("doc_id", "label")
     got = documents.where("text is not null").join(some, "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return [(r.text, r.label) for r in got]
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quillspark.llm import scans, toxicity
 
 NOUNS = "회계 자산 교육 보안 민원 통계 예약 산림".split()
@@ -80,6 +82,14 @@ def test_no_labels(spark):
     assert len(rows) == 1 and rows[0].score < toxicity.THRESHOLD
 
 
+@pytest.mark.parametrize("n_bad, n_clean, want", [(40, 40, (10, 10)), (400, 40, (10, 10)), (6, 400, (6, 14)), (40, 4, (16, 4)), (3, 5, (3, 5))])
+def test_the_sample_keeps_clean_documents(spark, n_bad, n_clean, want):
+    rows = [(i, f"text {i}", toxicity.CLASSES[1 + i % 3] if i < n_bad else "clean") for i in range(n_bad + n_clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = [label for _, label in toxicity.labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "label"), rows=20)]
+    assert (sum(x != "clean" for x in got), got.count("clean")) == want
+
+
 def test_page_numbers():
     for s in ("12", "- 12 -", "— l2 —", "Page 9", "10쪽", "[26]", "9 / 14", "viii", "— ll —"):
         assert scans.is_page_number(s), s
