@@ -11,8 +11,9 @@ probability s^4, so that one of similarity 0.65 is missed in 0.3 % and one of 0.
 cases; a 192-bit sketch then drops candidates far below the threshold. Large (heavy) sets, whose
 partners are large as well, are found by scanning the inverted lists of their rarest elements,
 which is exact. The boundary is chosen by estimated cost: as many of the largest sets are heavy as
-scanning takes a twentieth of the cost of enumerating. Every remaining candidate is verified on its
-texts.
+scanning takes a twentieth of the cost of enumerating. Sets of fewer than SMALL elements, for which
+points often agree by chance of the gaps between few elements and designs miss most, are found by
+their lists in the same exact way. Every remaining candidate is verified on its texts.
 
 Full enumeration of the subsets that the overlap bound asks for (240 of 400 elements) is not
 feasible; the designs above are a fixed part of it. The README says so.
@@ -34,6 +35,8 @@ GRAM, THRESHOLD = 5, 0.6
 BANDS, SUBSET, SKETCH_BITS = 30, 4, 192
 #: Of SKETCH_BITS, as many may differ; for similarity 0.6 the mean is 38.4 and the deviation 5.5.
 MAX_DIFFERENT = 58
+#: Pairs whose smaller set has fewer elements are found by inverted lists, since these are short for them.
+SMALL = 100
 #: For the choice of the boundary only: how often two prefix elements are equal, and the cost of one
 #: enumerated subset or list entry (hashing, shuffling, sorting) in steps along an inverted list, and
 #: what scanning may cost beside enumerating.
@@ -136,15 +139,16 @@ def boundary(lengths: list[tuple[int, int, float]]) -> int:
 
 
 def light_candidates(texts: DataFrame, heavy_from: int) -> DataFrame:
-    """(a, b): keys of texts that share an enumerated subset and whose sketches are near."""
+    """(a, b): keys of texts that share an enumerated subset and whose sketches are near; sets of fewer
+    than SMALL elements are left to `small_candidates`."""
 
     def run(it):
         for batch in it:
             keys, words = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in batches_by_size(words):
                 some, sub, sketch, size = signatures(words[a:b])
-                small = size[some] < heavy_from
-                some, sub, sketch = some[small], sub[small], sketch[small]
+                light = (size[some] < heavy_from) & (size[some] >= SMALL)
+                some, sub, sketch = some[light], sub[light], sketch[light]
                 if len(some) == 0:
                     continue
                 rep = lambda x: pa.array(np.repeat(x, BANDS))
@@ -159,6 +163,29 @@ def light_candidates(texts: DataFrame, heavy_from: int) -> DataFrame:
 def heavy_candidates(texts: DataFrame, heavy_from: int) -> DataFrame:
     """(a, b): pairs with a heavy set that meet in an inverted list of rare elements; exact."""
     large = texts.where(F.col("n") >= THRESHOLD * heavy_from).select("tid", "text")
+    return list_candidates(large, lambda low, big: big >= heavy_from)
+
+
+def small_candidates(texts: DataFrame) -> DataFrame:
+    """(a, b): pairs with a set of fewer than SMALL elements that meet in an inverted list; exact.
+
+    A long text may have few distinct elements, so that all texts are looked at."""
+
+    def run(it):
+        for batch in it:
+            words = batch.column(1).to_pylist()
+            for a, b in batches_by_size(words):
+                _, _, size = gram_sets(words[a:b])
+                keep = pa.array((size > 0) & (size * THRESHOLD < SMALL))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(keep), batch.column(1).slice(a, b - a).filter(keep)], names=["tid", "text"])
+
+    few = materialize(texts.select("tid", "text").mapInArrow(run, "tid long, text string"), "small")
+    return list_candidates(few, lambda low, big: low < SMALL)
+
+
+def list_candidates(large: DataFrame, wanted) -> DataFrame:
+    """(a, b): pairs of the sets (tid, text) that share one of their rarest elements, if `wanted` of their
+    lesser and greater size; exact."""
 
     def count(it):
         cells = np.zeros(RARITY_CELLS, np.int64)
@@ -182,19 +209,24 @@ def heavy_candidates(texts: DataFrame, heavy_from: int) -> DataFrame:
                 doc, g = (key >> np.uint64(48)).astype(np.int64), key & _LOW48
                 o = np.lexsort((g, rarity[(g & np.uint64(RARITY_CELLS - 1)).astype(np.int64)], doc))
                 rank = np.arange(len(o)) - start[doc]
+                # parity of the elements by cell: two sets differ in as many elements as bits at least
+                odd = np.bincount(doc * SKETCH_BITS + (g % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=(b - a) * SKETCH_BITS) & 1
+                bits = np.packbits(odd.astype(np.uint8)).reshape(b - a, -1).view(np.int64)
                 keep = rank < (size - np.ceil(THRESHOLD * size - 1e-9) + 1)[doc]
                 g, doc, rank = g[o][keep], doc[keep], rank[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(keys[a:b][doc]), pa.array(size[doc]), pa.array(rank)], names=["g", "tid", "size", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(keys[a:b][doc]), pa.array(size[doc]), pa.array(rank), *(pa.array(bits[doc, j]) for j in range(3))], names=["g", "tid", "size", "rank", "s1", "s2", "s3"])
 
-    lists = large.mapInArrow(prefix, "g long, tid long, size long, rank long").distinct()
+    lists = large.mapInArrow(prefix, "g long, tid long, size long, rank long, s1 long, s2 long, s3 long").distinct()
     a, b = lists.alias("a"), lists.alias("b")
     big, low = F.greatest("a.size", "b.size"), F.least("a.size", "b.size")
     rest = 1 + F.least(F.col("a.size") - F.col("a.rank"), F.col("b.size") - F.col("b.rank")) - 1
-    meets = (F.col("a.g") == F.col("b.g")) & (F.col("a.tid") < F.col("b.tid")) & (big >= heavy_from) & (low >= THRESHOLD * big)
+    meets = (F.col("a.g") == F.col("b.g")) & (F.col("a.tid") < F.col("b.tid")) & wanted(low, big) & (low >= THRESHOLD * big)
     # at the first element they share, what is left must suffice for the overlap that the threshold asks for;
     # a pair that is kept at a later element is kept at its first one too
     enough = rest + F.least("a.rank", "b.rank") >= THRESHOLD / (1 + THRESHOLD) * (F.col("a.size") + F.col("b.size")) - 1e-6
-    return a.join(b, meets & enough).select(F.col("a.tid").alias("a"), F.col("b.tid").alias("b")).distinct()
+    apart = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("s1", "s2", "s3"))
+    few = apart <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("a.size") + F.col("b.size")) + 1e-6
+    return a.join(b, meets & enough & few).select(F.col("a.tid").alias("a"), F.col("b.tid").alias("b")).distinct()
 
 
 def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
@@ -226,7 +258,7 @@ class NearDuplicates:
         texts = all_rows.where("text is not null").select("tid", "n", "text")
         classes = texts.groupBy(F.floor(F.log2(F.col("n") + 1) * 8).alias("c")).agg(F.min("n"), F.count("*"), F.avg("n")).collect()  # 8 per doubling
         self.heavy_from = boundary([(r[1], r[2], r[3]) for r in classes])
-        pairs = light_candidates(texts, self.heavy_from)
+        pairs = light_candidates(texts, self.heavy_from).union(small_candidates(texts)).distinct()
         if self.heavy_from < 1 << 62:
             pairs = pairs.union(heavy_candidates(texts, self.heavy_from)).distinct()
         self.links = materialize(verify(materialize(pairs, "candidates"), texts), "links")

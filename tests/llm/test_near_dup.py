@@ -41,6 +41,22 @@ def test_pairs_match_brute_force(spark, monkeypatch, heavy):
     assert not missed if heavy == 1 else len(missed) <= 0.01 * len(want)
 
 
+def test_small_sets_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "boundary", lambda _: 1 << 62)
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0xAC00, 0xAC00 + 2000)]
+    rows = []
+    for i in range(150):
+        same = rng.randrange(10, 72)  # fewer than SMALL elements in all
+        x = "".join(rng.choices(letters, k=same + 4))
+        for j in range(3):  # similarities of 0.6 and a little above
+            rows.append((f"{i:03d}{j}", x + "".join(rng.choices(letters, k=same // 3 - j // 2))))
+    rows += [("r1", "가나다라마바사" * 200), ("r2", "가나다라마바사" * 90)]  # long texts of few elements
+    got = {tuple(r) for r in near_dup.found(spark.createDataFrame(rows, "chunk_id string, text string")).collect()}
+    want = brute(rows)
+    assert len(want) > 400 and got == want
+
+
 def test_boundary_minimises_cost():
     assert near_dup.boundary([]) == 1 << 62
     few_large = near_dup.boundary([(100, 1_000_000, 120.0), (5000, 3, 5200.0)])
