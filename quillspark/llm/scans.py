@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import materialize
 from .names import parts
 
-EDGE_LINES, VOCABULARY, CONTEXTS, DIMENSIONS, WINDOW = 2, 4096, 512, 48, 2
+EDGE_LINES, PAGES, VOCABULARY, CONTEXTS, DIMENSIONS, WINDOW = 2, 24, 4096, 512, 48, 2
 # Marks at a line's end that divide a word, and letters that scans take for others.
 DIVIDERS = "-–‐‑­¬"
 LATIN_SHAPES = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("1", "l"), ("0", "o"), ("c", "e"), ("5", "s"), ("8", "b"), ("ii", "u"))
@@ -138,11 +138,12 @@ def drop_strays(token: str) -> str:
 
 
 def pages(images: DataFrame) -> DataFrame:
-    """(field_name, record_id, doc_id, file_name, text): the text of scanned pages; combined_context only where
+    """(field_name, record_id, doc_id, file_name, page, text): the text of scanned pages; combined_context only where
     ocr_text is null. Records with neither are left out, and repeated records count once."""
     p = images.where("source_type = 'page_scan' and record_id is not null").select(
         F.when(F.col("ocr_text").isNotNull(), "ocr_text").otherwise("combined_context").alias("field_name"),
-        F.col("record_id").cast("long").alias("record_id"), "doc_id", "file_name", F.coalesce("ocr_text", "combined_context").alias("text"),
+        F.col("record_id").cast("long").alias("record_id"), "doc_id", "file_name",
+        (F.col("image_number") if "image_number" in images.columns else F.lit(None)).cast("long").alias("page"), F.coalesce("ocr_text", "combined_context").alias("text"),
     )
     return p.where("text is not null").dropDuplicates(["record_id"])
 
@@ -150,9 +151,10 @@ def pages(images: DataFrame) -> DataFrame:
 def furniture(p: DataFrame) -> DataFrame:
     """(record_id, line_no, noise, key): running lines and page numbers among the first and last lines.
 
-    A line is a running one if its letters recur at the edges of other pages of its document: two
-    pages at least, and a twelfth of them; or if it is that near to such a line (a third of its
-    letters, for misread ones), or begins like the title in the file's name. Only counts per document and line leave the pages.
+    A line is a running one if its letters recur at the edges of other pages of its document, or of
+    PAGES pages that follow each other there: two pages at least, and a twelfth of them; or if it is that near to such a line (a third of its
+    letters, for misread ones), or begins like the title in the file's name. Pages without doc_id belong together by
+    file_name. Only counts per document and line leave the pages.
     """
 
     def edges(it):
@@ -171,15 +173,20 @@ def furniture(p: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["record_id", "doc_id", "line_no", "top", "page", "key", "open", "title"])
 
-    e = materialize(p.select("record_id", F.coalesce("doc_id", F.lit("")).alias("doc_id"), "text", "file_name").mapInArrow(edges, "record_id long, doc_id string, line_no int, top boolean, page boolean, key string, open boolean, title boolean"), "edges")
-    n_pages = p.groupBy(F.coalesce("doc_id", F.lit("")).alias("doc_id")).agg(F.count("*").alias("n_pages"))
-    lines = e.where("not page")
-    counts = lines.groupBy("doc_id", "top", "key").agg(F.count("*").alias("n"))
-    runs = counts.join(n_pages, "doc_id").where((F.col("n") >= 2) & (F.col("n") * 12 >= F.col("n_pages")))
-    # of a document, at most 12 running lines can reach a twelfth of its pages on either edge and place
-    ranked = runs.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "top").orderBy(F.desc("n"), "key"))).where("k <= 24").select("doc_id", "top", F.col("key").alias("run"), F.col("n").alias("n_run"))
+    whose = F.coalesce("doc_id", F.concat(F.lit("\0"), "file_name"), F.lit("")).alias("doc_id")
+    # the whole document, and stretches of PAGES pages that overlap by half
+    parts_of = F.array_compact(F.array(F.lit(""), F.concat(F.lit("a"), F.floor(F.col("page") / PAGES)), F.concat(F.lit("b"), F.floor((F.col("page") + PAGES // 2) / PAGES))))
+    stretches = p.select("record_id", F.explode(parts_of).alias("stretch"))
+    e = materialize(p.select("record_id", whose, "text", "file_name").mapInArrow(edges, "record_id long, doc_id string, line_no int, top boolean, page boolean, key string, open boolean, title boolean"), "edges")
+    n_pages = p.select(whose, F.explode(parts_of).alias("stretch")).groupBy("doc_id", "stretch").agg(F.count("*").alias("n_pages"))
+    whole = e.where("not page")
+    lines = whole.join(stretches, "record_id")
+    counts = lines.groupBy("doc_id", "stretch", "top", "key").agg(F.count("*").alias("n"))
+    runs = counts.join(n_pages, ["doc_id", "stretch"]).where((F.col("n") >= 2) & (F.col("n") * 12 >= F.col("n_pages")))
+    # of a stretch, at most 12 running lines can reach a twelfth of its pages on either edge and place
+    ranked = runs.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "stretch", "top").orderBy(F.desc("n"), "key"))).where("k <= 24").select("doc_id", "stretch", "top", F.col("key").alias("run"), F.col("n").alias("n_run"))
     near = (F.col("key") == F.col("run")) | (F.levenshtein("key", "run") * 3 <= F.length("run"))
-    headers = lines.join(ranked, ["doc_id", "top"]).where(near & (F.col("open") | (F.col("n_run") >= 3))).select("record_id", "line_no").union(lines.where("title and open").select("record_id", "line_no")).distinct().withColumn("noise", F.lit("header"))
+    headers = lines.join(ranked, ["doc_id", "stretch", "top"]).where(near & (F.col("open") | (F.col("n_run") >= 3))).select("record_id", "line_no").union(whole.where("title and open").select("record_id", "line_no")).distinct().withColumn("noise", F.lit("header"))
     return headers.union(e.where("page").select("record_id", "line_no", F.lit("page_number")))
 
 

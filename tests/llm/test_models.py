@@ -150,3 +150,14 @@ def test_pages(spark):
     text = {r.record_id: r.text for r in out.collect()}
     assert text[5001] == "" and 5000 not in text and "입찰공고문" not in text[2] and "¬" not in text[2]
     assert {r.field_name for r in scans.found(im).collect()} == {"ocr_text", "combined_context"}
+
+
+def test_running_lines_of_long_and_unnamed_documents(spark):
+    rng = random.Random(3)
+    body = lambda: "\n".join("".join(chr(rng.randrange(0xAC00, 0xD7A0)) for _ in range(30)) for _ in range(6))
+    # a chapter's header on 20 of 300 pages, and 30 documents of 4 pages each without a doc_id
+    rows = [(i, "d", "a.pdf", i, ("둘째 마당의 머리글\n" if 100 <= i < 120 else "") + body()) for i in range(300)]
+    rows += [(1000 + 4 * d + i, None, f"{d}.pdf", i, chr(0xAC00 + 500 * d % 11000) * 4 + " 문서 머리글\n" + body()) for d in range(30) for i in range(4)]
+    im = spark.createDataFrame([(r, d, f, n, "page_scan", t, None) for r, d, f, n, t in rows], "record_id long, doc_id string, file_name string, image_number int, source_type string, ocr_text string, combined_context string")
+    got = {(r.record_id, r.line_no) for r in scans.furniture(scans.pages(im)).where("noise = 'header'").collect()}
+    assert got == {(i, 1) for i in range(100, 120)} | {(1000 + i, 1) for i in range(120)}
