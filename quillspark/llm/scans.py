@@ -14,8 +14,8 @@ its size is fixed.
 
 from __future__ import annotations
 
+import math
 import re
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import materialize
 from .names import parts
 
-EDGE_LINES, PAGES, VOCABULARY, CONTEXTS, DIMENSIONS, WINDOW = 2, 24, 4096, 512, 48, 2
+EDGE_LINES, PAGES, CONTEXTS, DIMENSIONS, WINDOW, LEAST_SEEN = 2, 24, 256, 48, 2, 3
+#: How often a shape of Latin letters is misread, the logarithm of how likely a rare word that is near a
+#: frequent one is a word of its own, and how likely at least a word with one misread letter has another.
+LATIN_RATE, LOG_OWN, MORE = 0.02, -5.0, 0.3
 # Marks at a line's end that divide a word, and letters that scans take for others.
 DIVIDERS = "-–‐‑­¬"
 LATIN_SHAPES = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("1", "l"), ("0", "o"), ("c", "e"), ("5", "s"), ("8", "b"), ("ii", "u"))
@@ -33,7 +36,7 @@ DIGIT_SHAPES = {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "B": "8", "Z":
 _INNER = "·.,:;/()%&+'’‘“”\"-–‐‑­¬[]|@#"
 _UNITS = "년|월|일|분|초|시|건|명|회|점|개|등급|단계|부|원|차|종|주|식|쪽|면|장|대|권|층|개월|세|인|MB|GB|TB|KB|%"
 _NUMBER = re.compile(rf"(?<![A-Za-z])[0-9OolISBZ](?:[0-9OolISBZ.,]*[0-9OolISBZ])?(?=(?:{_UNITS}|[^A-Za-z0-9]|\Z))")
-_CODE = re.compile(r"(?<=[A-Z]{3}[-‐‑–])[0-9OolISBZ]{3}(?![A-Za-z0-9])")
+_CODE = re.compile(r"(?<=[A-Z]{2}[-‐‑–])[0-9OolISBZ]*[0-9][0-9OolISBZ]*(?![A-Za-z0-9])|(?<=[A-Z]{3}[-‐‑–])[0-9OolISBZ]{3}(?![A-Za-z0-9])")
 _ROMAN = re.compile(r"[ivxlc]{1,8}|[IVXLC]{1,8}")
 _PAGE = re.compile(r"^[\s\-–—―‐~·\[\(<【〔|]*(?:[Pp]age|PAGE|[Pp]g|[Pp]|쪽|면|제)?\s*\.?\s*([0-9OolISBZ]{1,5})(?:\s*(?:/|of|중)\s*[0-9OolISBZ]{1,5})?\s*(?:쪽|면|페이지|[Pp]age|p)?[\s\-–—―‐~·\]\)>】〕|]*$")
 _ARTICLE = re.compile(r"^\s*제\s*[0-9OolISBZ]+\s*[조장절항관]")
@@ -66,6 +69,10 @@ def differing(a: str, b: str) -> int:
     return sum(x != y for x, y in zip(parts(a), parts(b))) if "가" <= a <= "힣" and "가" <= b <= "힣" else 3
 
 
+_LATIN_WORD = re.compile(r"[A-Za-z0-9\-]*[a-z][A-Za-z0-9\-]*")
+#: Of each Latin letter, the simplest shapes that it may be seen as; a letter and its misread form have the same.
+_EXPANDED = {b: a for a, b in LATIN_SHAPES if len(a) > 1} | {"1": "l", "0": "o", "c": "e", "5": "s", "8": "b"}
+_EXPANDED["d"] = "el"
 _NUMERIC = re.compile(r"^[0-9A-Za-z.,%\-]*[0-9A-Z%](?=[가-힣]+$)")
 
 
@@ -85,29 +92,36 @@ def line_tokens(lines: list[str]) -> list[tuple[list[str], bool]]:
     return out
 
 
-def candidates(word: str, syllables: dict[str, list[str]], most: int = 3) -> set[str]:
-    """What a word may have been before up to `most` glyph edits."""
-    out: set[str] = set()
+def glyph_key(word: str, classes: dict[str, str]) -> str:
+    """What a word and all that it may be misread as have in common: syllables of one class are one, and of
+    Latin letters each is written as the shapes it consists of. Plain substitution character by character, so
+    that any number of edits anywhere in the word leaves it as it is."""
+    return "".join(classes.get(c, c) for c in word) if re.search("[가-힣]", word) else "".join(_EXPANDED.get(c, c) for c in word.lower())
+
+
+def _log_share(rates: list[float]) -> float:
+    """Misread letters come together: after the first of a word, others are likelier."""
+    return math.log(rates[0]) + sum(math.log(max(r, MORE)) for r in rates[1:])
+
+
+def log_misread(word: str, right: str, edits: dict[str, dict[str, float]]) -> float | None:
+    """The logarithm of the share in which scans show `right` as `word` by glyph edits; None if they never do."""
     if re.search("[가-힣]", word):
-        at = [i for i, c in enumerate(word) if c in syllables][:8]
-        for k in range(1, min(most, len(at)) + 1):
-            for some in combinations(at, k):
-                forms = [word]
-                for i in some:
-                    forms = [f[:i] + t + f[i + 1 :] for f in forms for t in syllables[word[i]]]
-                out.update(forms)
-    elif re.fullmatch(r"[A-Za-z0-9\-]*[a-z][A-Za-z0-9\-]*", word):
-        spots = [(m.start(), a, b) for a, b in LATIN_SHAPES for m in re.finditer(re.escape(a), word.lower())][:10]
-        for k in range(1, min(most, len(spots)) + 1):
-            for some in combinations(sorted(spots), k):
-                if all(x[0] + len(x[1]) <= y[0] for x, y in zip(some, some[1:])):
-                    s, last = "", 0
-                    for at, a, b in some:
-                        s += word[last:at] + b
-                        last = at + len(a)
-                    out.add(s + word[last:])
-    out.discard(word)
-    return out
+        if len(word) != len(right):
+            return None
+        rates = [edits.get(x, {}).get(y) for x, y in zip(word, right) if x != y]
+        return None if not rates or None in rates else _log_share(sorted(rates))
+    if not _LATIN_WORD.fullmatch(word):
+        return None
+    low, states = word.lower(), {(0, 0): 0}  # the fewest edits by (read of word, written of right)
+    for i in range(len(word)):
+        for (_, j), n in [x for x in states.items() if x[0][0] == i]:
+            steps = [(i + 1, j + 1, n)] if word[i] == right[j : j + 1] else []
+            steps += [(i + len(a), j + 1, n + 1) for a, b in LATIN_SHAPES if low.startswith(a, i) and right[j : j + 1] == b]
+            for x, y, m in steps:
+                states[x, y] = min(m, states.get((x, y), m))
+    n = states.get((len(word), len(right)))
+    return _log_share([LATIN_RATE] * n) if n else None
 
 
 def fix_numbers(token: str) -> str:
@@ -218,28 +232,79 @@ def words_of(p: DataFrame) -> DataFrame:
     return p.select("record_id", "text").mapInArrow(run, "record_id long, word string, context array<int>")
 
 
-def vectors(words: DataFrame, counts: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """(place of a word, word vectors, context vectors) of the VOCABULARY most frequent words."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word")
-    got = words.join(F.broadcast(top), "word").select("word", F.explode("context").alias("c")).groupBy("word", "c").agg(F.count("*").alias("n")).collect()  # VOCABULARY * CONTEXTS rows at most
-    place: dict[str, int] = {}
-    for r in sorted({r.word for r in got}):
-        place[r] = len(place)
-    m = np.zeros((max(1, len(place)), CONTEXTS))
-    for r in got:
-        m[place[r.word], r.c] = r.n
-    total = m.sum() or 1.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.log(m * total / (m.sum(axis=1, keepdims=True) * m.sum(axis=0, keepdims=True)))
-    pmi = np.where(np.isfinite(pmi), np.maximum(pmi, 0), 0)
-    rng = np.random.default_rng(3)
-    q, _ = np.linalg.qr(pmi @ rng.standard_normal((CONTEXTS, DIMENSIONS)))
-    u, s, v = np.linalg.svd(q.T @ pmi, full_matrices=False)
-    return place, (q @ u * np.sqrt(s)).astype(np.float32), (v.T * np.sqrt(s)).astype(np.float32)
-
-
-def learn_edits(counts: DataFrame, least: int = 3) -> dict[str, list[str]]:
-    """Misread syllable -> the syllables it stands for, from pairs of a rare and a frequent word."""
+def context_rows(words: DataFrame) -> DataFrame:
+    """(word, context, total): how often each word stands beside each hashed context, as (c, n); CONTEXTS
+    entries of a word at most. Every occurrence on every page counts."""
+
+    def run(it):
+        for batch in it:
+            w = batch.column(0).dictionary_encode()
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            pair = np.repeat(w.indices.to_numpy(zero_copy_only=False).astype(np.int64), size) * CONTEXTS + lists.flatten().to_numpy(zero_copy_only=False)
+            at, n = np.unique(pair, return_counts=True)
+            yield pa.RecordBatch.from_arrays([w.dictionary.take(pa.array(at // CONTEXTS)), pa.array((at % CONTEXTS).astype(np.int32)), pa.array(n)], names=["word", "c", "n"])
+
+    pairs = words.select("word", "context").mapInArrow(run, "word string, c int, n long").groupBy("word", "c").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("word").agg(F.collect_list(F.struct("c", "n")).alias("context"), F.sum("n").alias("total"))
+
+
+class Space:
+    """The skip-gram space: shares of the contexts and their vectors. Its size is fixed."""
+
+    def __init__(self, shares: np.ndarray, vectors: np.ndarray):
+        self.shares, self.vectors = shares, vectors
+
+    def association(self, counts: np.ndarray) -> np.ndarray:
+        """How much oftener than by chance each word (a row) stands beside each context, as a logarithm that
+        is near 0 where there is little to go by."""
+        return np.log((counts + 1) / (counts.sum(axis=-1, keepdims=True) * self.shares + 1))
+
+    def embed(self, counts: np.ndarray) -> np.ndarray:
+        return (self.association(counts) @ self.vectors).astype(np.float32)
+
+    def fit(self, vector: np.ndarray, near: list[int]) -> float:
+        """How well a word goes with the contexts around a place."""
+        return float(self.vectors[near].sum(axis=0) @ vector) if near else 0.0
+
+
+def dense_rows(column) -> np.ndarray:
+    """Lists of (c, n) as rows of counts."""
+    items, out = column.flatten(), np.zeros((len(column), CONTEXTS))
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    out[row, items.field("c").to_numpy(zero_copy_only=False)] = items.field("n").to_numpy(zero_copy_only=False)
+    return out
+
+
+def skip_gram_space(rows: DataFrame) -> Space:
+    """The space of context_rows: the main directions of the associations of all words seen LEAST_SEEN times.
+
+    The tasks add up products of contexts with contexts; what reaches the driver is one matrix of
+    CONTEXTS by CONTEXTS, whatever the number of words.
+    """
+    n = np.zeros(CONTEXTS)
+    for r in rows.select(F.explode("context").alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n")).collect():  # CONTEXTS rows
+        n[r.c] = r.n
+    known = Space(n / max(1.0, n.sum()), np.eye(CONTEXTS))
+    i, j = np.triu_indices(CONTEXTS)
+
+    def products(it):
+        g = np.zeros((CONTEXTS, CONTEXTS))
+        for batch in it:
+            for lo in range(0, batch.num_rows, 1024):
+                a = known.association(dense_rows(pa.concat_arrays([batch.column(0).slice(lo, 1024)])))
+                g += a.T @ a
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(g[i, j])], names=["i", "j", "g"])
+
+    sums = rows.where(F.col("total") >= 2 * WINDOW * LEAST_SEEN).select("context").mapInArrow(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
+    g = np.zeros((CONTEXTS, CONTEXTS))
+    g[sums.i, sums.j] = g[sums.j, sums.i] = sums.g
+    return Space(known.shares, np.linalg.eigh(g)[1][:, ::-1][:, :DIMENSIONS])
+
+
+def learn_edits(counts: DataFrame, least: int = 3) -> dict[str, dict[str, float]]:
+    """Misread syllable -> the syllables it stands for, each with the share of its occurrences that are misread
+    so, from pairs of a rare and a frequent word."""
 
     def masks(it):
         for batch in it:
@@ -262,33 +327,87 @@ def learn_edits(counts: DataFrame, least: int = 3) -> dict[str, list[str]]:
     # two letters apart, a pair must not be one of endings only
     got = [r for r, d in got if d == 1 or (r.k >= 2 * least and r.k_inner >= 0.3 * r.k)]
     most = {r.ch: max(x.k for x in got if x.ch == r.ch) for r in got}
-    out: dict[str, list[str]] = {}
+    out: dict[str, dict[str, float]] = {}
     for r in sorted(got, key=lambda r: (-r.k, r.ch, r.to)):
         # a syllable is misread for one or few others, and those are no misread ones themselves
         if r.k >= 0.3 * most[r.ch] and most.get(r.to, 0) < r.k:
-            out.setdefault(r.ch, []).append(r.to)
-    return {a: b[:3] for a, b in out.items()}
+            out.setdefault(r.ch, {})[r.to] = min(0.5, r.n / r.n_all)
+    return out
 
 
-def corrections(counts: DataFrame, edits: dict[str, list[str]]) -> DataFrame:
-    """(word, options) of the words that glyph edits lead to a more frequent word; options are (word, n)."""
+def syllable_classes(edits: dict[str, dict[str, float]]) -> dict[str, str]:
+    """Syllable -> the first syllable of its class; what is misread for each other is of one class."""
+    of: dict[str, str] = {}
 
-    def run(it):
+    def root(x: str) -> str:
+        while of.setdefault(x, x) != x:
+            x = of[x]
+        return x
+
+    for a, many in edits.items():
+        for b in many:
+            x, y = sorted((root(a), root(b)))
+            of[y] = x
+    return {x: root(x) for x in of}
+
+
+def corrections(counts: DataFrame, edits: dict[str, dict[str, float]]) -> DataFrame:
+    """(word, n, to, n_to, log_p): the rare words that glyph edits lead to a more frequent word, with all such
+    words. Both meet in an equality join on their glyph key, whatever the number of edits."""
+    classes = syllable_classes(edits)
+
+    def keys(it):
         for batch in it:
-            rows = [(w, n, v) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for v in candidates(w, edits)]
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["word", "n", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array([glyph_key(w, classes) for w in batch.column(0).to_pylist()], pa.string()), *batch.columns], names=["key", "word", "n"])
 
-    c = counts.select("word", "n").mapInArrow(run, "word string, n long, to string")
-    hit = c.join(counts.select(F.col("word").alias("to"), F.col("n").alias("n_to")), "to").where("n_to > 2 * n and n_to >= 3")
-    return hit.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("n_to").alias("n"), F.col("to").alias("word"))), False), 1, 5).alias("options"))
+    def judged(it):
+        for batch in it:
+            p = [log_misread(w, v, edits) for w, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=["word", "n", "to", "n_to", "log_p"])
 
+    k = counts.select("word", "n").mapInArrow(keys, "key string, word string, n long")
+    pairs = k.join(k.where("n >= 3").select("key", F.col("word").alias("to"), F.col("n").alias("n_to")), "key").where("word <> to and n_to > 2 * n")
+    return pairs.select("word", "n", "to", "n_to").mapInArrow(judged, "word string, n long, to string, n_to long, log_p double").where("log_p is not null")
 
-def repair_page(text: str, marks: dict[int, str], options: dict[str, list[tuple[int, str]]], space) -> tuple[list[tuple[int, str]], str, int]:
+
+def competitors(pairs: DataFrame, rows: DataFrame, space: Space) -> DataFrame:
+    """(word, n, context, options): each rare word with its own contexts and the words that it may be instead,
+    with their vectors."""
+
+    def embed(it):
+        for batch in it:
+            for lo in range(0, batch.num_rows, 1024):
+                v = space.embed(dense_rows(pa.concat_arrays([batch.column(1).slice(lo, 1024)])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1024), pa.array(list(v), pa.list_(pa.float32()))], names=["to", "vector"])
+
+    targets = rows.join(pairs.select(F.col("to").alias("word")).distinct(), "word", "left_semi").select("word", "context")
+    vectors = targets.mapInArrow(embed, "to string, vector array<float>")
+    own = rows.select("word", "context")
+    # the words with one glyph key as this one
+    options = pairs.join(vectors, "to").groupBy("word", "n").agg(F.collect_list(F.struct("to", "n_to", "log_p", "vector")).alias("options"))
+    return options.join(own, "word").select("word", "n", "context", "options")
+
+
+def choice(word: dict, near: list[int], space: Space) -> str | None:
+    """What a rare word (a row of `competitors`) stands for at a place between the contexts `near`: the word
+    of highest count, probability of being misread so and fit to the place; None if that is the word itself,
+    whose fit rests on its other occurrences."""
+    counts = np.zeros(CONTEXTS)
+    for x in word["context"]:
+        counts[x["c"]] = x["n"]
+    np.subtract.at(counts, near, 1)
+    best, most = None, math.log(word["n"]) + LOG_OWN + space.fit(space.embed(np.maximum(counts, 0)), near)
+    for o in sorted(word["options"], key=lambda o: o["to"]):
+        score = math.log(o["n_to"]) + o["log_p"] + space.fit(np.asarray(o["vector"], np.float32), near)
+        if score > most:
+            best, most = o["to"], score
+    return best
+
+
+def repair_page(text: str, marks: dict[int, str], options: dict[str, dict], space: Space) -> tuple[list[tuple[int, str]], str, int]:
     """(noises as (line, kind), repaired text, corrected words) of one page."""
     import xxhash
 
-    place, wv, cv = space
     lines = text.split("\n")
     noises = [(n, k) for n, k in marks.items()]
     body: list[str] = []
@@ -298,11 +417,7 @@ def repair_page(text: str, marks: dict[int, str], options: dict[str, list[tuple[
     bad: set[int] = set()
 
     def choose(w: str, at: int, hashed: list[int]) -> str | None:
-        if w not in options:
-            return None
-        near = [cv[h] for h in hashed[max(0, at - WINDOW) : at] + hashed[at + 1 : at + 1 + WINDOW]]
-        mean = np.mean(near, axis=0) if near else np.zeros(cv.shape[1])
-        return max(options[w], key=lambda o: (np.log(o[0]) + (float(wv[place[o[1]]] @ mean) if o[1] in place else 0.0), o[1]))[1]
+        return choice(options[w], hashed[max(0, at - WINDOW) : at] + hashed[at + 1 : at + 1 + WINDOW], space) if w in options else None
 
     kept = [(n, x) for n, x in enumerate(lines, 1) if n not in marks and x.strip() != _LABEL]
     for at, ((n, line), (tokens, divided)) in enumerate(zip(kept, line_tokens([x for _, x in kept]))):
@@ -380,15 +495,18 @@ def repaired(images: DataFrame) -> DataFrame:
     by_page = marks.groupBy("record_id").agg(F.collect_list(F.struct("line_no", "noise")).alias("marks"))  # a few lines per page
     words = materialize(words_of(p), "words")
     counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "counts")
-    options = materialize(corrections(counts, learn_edits(counts)), "corrections")
-    space = images.sparkSession.sparkContext.broadcast(vectors(words, counts))
-    mine = words.select("record_id", "word").distinct().join(options, "word").groupBy("record_id").agg(F.collect_list(F.struct("word", "options")).alias("fixes"))  # a page's own words
+    pairs = materialize(corrections(counts, learn_edits(counts)), "corrections")
+    rows = materialize(context_rows(words), "contexts")
+    found_space = skip_gram_space(rows)
+    options = materialize(competitors(pairs, rows, found_space), "competitors")
+    space = images.sparkSession.sparkContext.broadcast(found_space)  # of fixed size
+    mine = words.select("record_id", "word").distinct().join(options, "word").groupBy("record_id").agg(F.collect_list(F.struct("word", "n", "context", "options")).alias("fixes"))  # a page's own words
 
     def run(it):
         for batch in it:
             rows = []
             for f, r, d, t, m, x in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                opts = {o["word"]: [(y["n"], y["word"]) for y in o["options"]] for o in x or ()}
+                opts = {o["word"]: o for o in x or ()}
                 noises, out, n = repair_page(t, {y["line_no"]: y["noise"] for y in m or ()}, opts, space.value)
                 rows.append((f, r, d, out, n, [{"line_no": a, "noise": b} for a, b in sorted(noises)]))
             cols = list(zip(*rows)) or [()] * 6

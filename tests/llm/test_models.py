@@ -161,3 +161,47 @@ def test_running_lines_of_long_and_unnamed_documents(spark):
     im = spark.createDataFrame([(r, d, f, n, "page_scan", t, None) for r, d, f, n, t in rows], "record_id long, doc_id string, file_name string, image_number int, source_type string, ocr_text string, combined_context string")
     got = {(r.record_id, r.line_no) for r in scans.furniture(scans.pages(im)).where("noise = 'header'").collect()}
     assert got == {(i, 1) for i in range(100, 120)} | {(1000 + i, 1) for i in range(120)}
+
+
+def test_context_decides_about_rare_words(spark, monkeypatch):
+    rng = random.Random(8)
+    swaps = {"관": "판", "한": "힌", "정": "징"}
+    filler = "가나다라마바사아자차카타파하거너더러머버서어저"
+    vocabulary = ["".join(rng.choice(filler) for _ in range(rng.randrange(1, 3))) + rng.choice("관한정") + rng.choice(filler) for _ in range(70)]
+    vocabulary += ["".join(rng.choice(filler) for _ in range(3)) for _ in range(70)]
+    rows, own, misread = [], set(), set()
+    for page in range(100):
+        lines = []
+        for _ in range(20):
+            line = " ".join(rng.choice(vocabulary) for _ in range(8))
+            at = [k for k, c in enumerate(line) if c in swaps]
+            if at and rng.random() < 0.06:
+                k = rng.choice(at)
+                line = line[:k] + swaps[line[k]] + line[k + 1 :]
+            lines.append(line)
+        for _ in range(3):  # a frequent word and its neighbours
+            lines.insert(5, "고성 노원 가관나 도봉 동해 완도")
+        if page % 12 == 0:  # misread there, and a word of its own elsewhere that looks the same
+            lines[6] = lines[6].replace("관", "판")
+            misread.add((page, 7))
+        if page % 9 == 0:
+            lines.append("여주 이천 가판나 평택 화성 오산")
+            own.add((page, len(lines)))
+        rows.append((page, f"d{page}", "f.hwp", page, "page_scan", "\n".join([*lines, "마지막 줄" + str(page), "끝 줄" + str(page)]), None))
+    im = spark.createDataFrame(rows, "record_id long, doc_id string, file_name string, image_number int, source_type string, ocr_text string, combined_context string")
+    found = lambda: {(r.record_id, r.line_no) for r in scans.found(im).where("noise = 'misread'").collect()}
+    got = found()
+    assert misread <= got and not own & got
+    full = scans.skip_gram_space
+    monkeypatch.setattr(scans, "skip_gram_space", lambda r: scans.Space(full(r).shares, full(r).vectors * 0))
+    assert own & found()  # without vectors, the word's contexts say nothing
+
+
+def test_glyph_edits_anywhere_in_a_word():
+    edits = {"판": {"관": 0.02}, "징": {"정": 0.03}}
+    classes = scans.syllable_classes(edits)
+    assert scans.glyph_key("판징" * 9, classes) == scans.glyph_key("관정" * 9, classes)
+    assert scans.log_misread("판징" * 9, "관정" * 9, edits) < 0 and scans.log_misread("관정", "판징", edits) is None
+    for word, right in (("rnoclern", "modern"), ("cloclcs", "dodes"), ("c1ick", "click"), ("vveb", "web"), ("eliecli", "eheeh")):
+        assert scans.glyph_key(word, {}) == scans.glyph_key(right, {}) and scans.log_misread(word, right, {}) < 0, word
+    assert scans.log_misread("modern", "rnodern", {}) is None
