@@ -372,17 +372,24 @@ def corrections(counts: DataFrame, edits: dict[str, dict[str, float]]) -> DataFr
 
 def competitors(pairs: DataFrame, rows: DataFrame, space: Space) -> DataFrame:
     """(word, n, context, options): each rare word with its own contexts and the words that it may be instead,
-    with their vectors."""
+    with their vectors; contexts and vectors as bytes, since they travel to every page with the word."""
 
     def embed(it):
         for batch in it:
             for lo in range(0, batch.num_rows, 1024):
-                v = space.embed(dense_rows(pa.concat_arrays([batch.column(1).slice(lo, 1024)])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1024), pa.array(list(v), pa.list_(pa.float32()))], names=["to", "vector"])
+                v = space.embed(dense_rows(pa.concat_arrays([batch.column(1).slice(lo, 1024)]))).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1024), pa.array([x.tobytes() for x in v], pa.binary())], names=["to", "vector"])
 
-    targets = rows.join(pairs.select(F.col("to").alias("word")).distinct(), "word", "left_semi").select("word", "context")
-    vectors = targets.mapInArrow(embed, "to string, vector array<float>")
-    own = rows.select("word", "context")
+    def pack(it):
+        for batch in it:
+            items = batch.column(1).flatten()
+            both = np.stack([items.field("c").to_numpy(zero_copy_only=False), np.minimum(items.field("n").to_numpy(zero_copy_only=False), 2**31 - 1)], axis=1).astype(np.int32)
+            ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.split(both, ends[:-1])], pa.binary())], names=["word", "context"])
+
+    of = lambda c: rows.join(pairs.select(F.col(c).alias("word")).distinct(), "word", "left_semi").select("word", "context")
+    vectors = of("to").mapInArrow(embed, "to string, vector binary")
+    own = of("word").mapInArrow(pack, "word string, context binary")
     # the words with one glyph key as this one
     options = pairs.join(vectors, "to").groupBy("word", "n").agg(F.collect_list(F.struct("to", "n_to", "log_p", "vector")).alias("options"))
     return options.join(own, "word").select("word", "n", "context", "options")
@@ -393,12 +400,12 @@ def choice(word: dict, near: list[int], space: Space) -> str | None:
     of highest count, probability of being misread so and fit to the place; None if that is the word itself,
     whose fit rests on its other occurrences."""
     counts = np.zeros(CONTEXTS)
-    for x in word["context"]:
-        counts[x["c"]] = x["n"]
+    c, n = np.frombuffer(word["context"], np.int32).reshape(-1, 2).T
+    counts[c] = n
     np.subtract.at(counts, near, 1)
     best, most = None, math.log(word["n"]) + LOG_OWN + space.fit(space.embed(np.maximum(counts, 0)), near)
     for o in sorted(word["options"], key=lambda o: o["to"]):
-        score = math.log(o["n_to"]) + o["log_p"] + space.fit(np.asarray(o["vector"], np.float32), near)
+        score = math.log(o["n_to"]) + o["log_p"] + space.fit(np.frombuffer(o["vector"], np.float16).astype(np.float32), near)
         if score > most:
             best, most = o["to"], score
     return best
