@@ -19,30 +19,23 @@ LIMIT, OVERLAP = 800, 120
 #: Strengths of boundaries, the weakest first: within a word, word, clause, sentence, line, paragraph.
 FORCED, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 _TEXT_CUTS = re.compile(r"\r?\n(?:[ \t]*\r?\n)+|\r?\n|(?<=[.!?])\s+")
-_ROW_CUTS = re.compile(r"\r?\n")
+_ROW_CUTS = re.compile(r"\r\n|\n|\r")
+_TABLE_LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+\Z")
 _FINE_CUTS = re.compile(r"(?<=[,;:·|)\]])\s+|<br>|\s+")
 _SEPARATOR = re.compile(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$")
 
 
 def table_head(table: str) -> tuple[str, str, list[str]]:
     """(head with its line end, rest, rows): the header line, the separator line if any, and the rows."""
-    lines = table.splitlines(keepends=True)
+    lines = _TABLE_LINE.findall(table)
     n = 1 + (len(lines) > 1 and _SEPARATOR.match(lines[1].strip()) is not None)
     head, rows = "".join(lines[:n]), lines[n:]
     return head, "".join(rows), [r.rstrip("\r\n") for r in rows]
 
 
-def units(kind: str, text: str) -> list[int]:
-    """Lengths of the units of an item: sentences and lines of a text, rows with their head of a table."""
-    if kind == "table":
-        head, _, rows = table_head(text)
-        h = len(head)
-        return [h + len(r) for r in rows if r.strip()] or [len(head.rstrip("\r\n"))]
-    return [len(u.strip()) for u in _TEXT_CUTS.split(text)]
-
-
-def _segments(body: str, cuts: re.Pattern, limit: int) -> tuple[list[int], list[int]]:
-    """Starts of atomic segments of at most `limit`, and the strength of the boundary before each."""
+def _segments(body: str, cuts: re.Pattern, limit: int, fine_limit: int) -> tuple[list[int], list[int]]:
+    """Starts of atomic segments, and the strength of the boundary before each: units of at most `limit`
+    (not counting white space around them) as they are, longer ones in segments of at most `fine_limit`."""
     starts, strong = [0], [PARAGRAPH]
 
     def add(at: int, s: int) -> None:
@@ -52,18 +45,19 @@ def _segments(body: str, cuts: re.Pattern, limit: int) -> tuple[list[int], list[
 
     for m in cuts.finditer(body):
         g = m.group()
-        add(m.end(), SENTENCE if "\n" not in g else PARAGRAPH if g.count("\n") > 1 else LINE)
+        add(m.end(), SENTENCE if not set(g) & set("\r\n") else PARAGRAPH if g.count("\n") > 1 else LINE)
     out, why = [], []
     for i, a in enumerate(starts):
         b = starts[i + 1] if i + 1 < len(starts) else len(body)
         out.append(a)
         why.append(strong[i])
-        if b - a > limit:  # no natural cut within the limit: words, else characters
+        unit = body[a:b]
+        if len(unit.rstrip("\r\n") if cuts is _ROW_CUTS else unit.strip()) > limit:  # no natural cut within the limit: words, else characters
             last = a
             fine = [(m.end(), CLAUSE if m.group() == "<br>" or body[m.start() - 1] in ",;:·|)]" else WORD) for m in _FINE_CUTS.finditer(body, a + 1, b)]
             for at, s in [*fine, (b, None)]:
-                while at - last > limit:
-                    last += limit
+                while at - last > fine_limit:
+                    last += fine_limit
                     out.append(last)
                     why.append(FORCED)
                 if s is not None and last < at < b:
@@ -76,8 +70,8 @@ def _segments(body: str, cuts: re.Pattern, limit: int) -> tuple[list[int], list[
 def merge(sizes: list[int], strong: list[int], limit: int, overlap: int) -> list[int]:
     """Indices of the segments that begin a piece, by merging over the weakest boundaries first.
 
-    A piece may hold `limit` characters; every piece but the first also carries `overlap` of the
-    piece before it.
+    A piece may hold `limit` characters; every merged piece but the first also leaves room for `overlap`
+    of the piece before it. A segment that is too large for that stays alone.
     """
     n = len(sizes)
     size, left, right, alive = list(sizes), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -103,24 +97,35 @@ def merge(sizes: list[int], strong: list[int], limit: int, overlap: int) -> list
     return [i for i in range(n) if alive[i]]
 
 
-def split_item(kind: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
-    """Pieces (start, end, overlap, piece) of an item longer than the limit.
+def repeats_head(head: str, rows: list[str], limit: int) -> bool:
+    """Whether the pieces of a table can repeat its head: every row fits beside it, or it leaves a quarter of
+    the limit at least for the parts of longer rows."""
+    room = limit - len(head)
+    return bool(rows) and room > 0 and (room >= limit // 4 or all(len(r) <= room for r in rows if r.strip()))
+
+
+def split_item(kind: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool, str]]:
+    """Pieces (start, end, overlap, natural, piece) of an item longer than the limit.
 
     start and end are offsets in the stored text and do not hold the overlap, so that the pieces'
-    spans follow each other without gap. A piece of a table repeats the header and separator lines
-    (when these take up to half of the limit) and overlaps by whole rows only; a piece of a text
-    overlaps by exactly `overlap` characters, or by the whole piece before it if that is shorter.
+    spans follow each other without gap. natural tells whether the cut before the piece lies between
+    units: sentences or lines of a text, rows with their head of a table. A piece of a table repeats the
+    header and separator lines (see `repeats_head`; without them, no cut is natural) and overlaps by whole
+    rows only; a piece of a text overlaps by exactly `overlap` characters, or by the whole piece before it
+    if that is shorter, or by what the limit leaves beside a single longer unit. White space at the ends of
+    a piece is left out where the piece would exceed the limit otherwise.
     """
-    head, base, cuts = "", 0, _TEXT_CUTS
+    head, base, cuts, whole = "", 0, _TEXT_CUTS, True
     body = text
     if kind == "table":
-        h, rest, _ = table_head(text)
-        if rest and len(h) <= limit // 2:
+        h, rest, rows = table_head(text)
+        whole = repeats_head(h, rows, limit)
+        if whole:
             head, base, body = h, len(h), rest
         cuts = _ROW_CUTS
     room = limit - len(head)
     over = min(overlap, room // 2)
-    starts, strong = _segments(body, cuts, room - over)
+    starts, strong = _segments(body, cuts, room, max(1, room - over))
     ends = [*starts[1:], len(body)]
     firsts = merge([b - a for a, b in zip(starts, ends)], strong, room, over)
     out = []
@@ -129,12 +134,17 @@ def split_item(kind: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP)
         o = 0
         if k:
             before = starts[firsts[k - 1]]
-            o = min(over, a - before)
+            o = max(0, min(over, a - before, room - (b - a)))
             if kind == "table":
-                rows = [s for s, w in zip(starts, strong) if a - o <= s < a and w >= LINE]
-                o = a - rows[0] if rows else 0
+                own = [s for s, w in zip(starts, strong) if a - o <= s < a and w >= LINE]
+                o = a - own[0] if own else 0
+        piece = head + body[a - o : b]
+        if len(piece) > limit:
+            piece = head + body[a - o : b].strip()
+        if len(piece) > limit:
+            raise AssertionError(f"a piece of {len(piece)} characters")
         # the head of a table belongs to the span of its first piece
-        out.append((base + a if k or not head else 0, base + b, o, head + body[a - o : b]))
+        out.append((base + a if k or not head else 0, base + b, o, not k or (whole and strong[i] >= SENTENCE), piece))
     return out
 
 
@@ -149,8 +159,9 @@ def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     """Pieces of the items (item_kind, item_id, text), one row per piece.
 
     Null and short texts must be filtered before (see `oversized`); other columns are dropped.
-    An item without any natural boundary is cut between characters. Output: item_kind, item_id,
-    piece_no from 1, n_pieces, start_at, end_at, overlap_chars, n_chars, cut_kind, piece.
+    An item without any natural boundary is cut between characters. cut_kind is 'forced' if any of the cuts
+    made lies within a unit, else 'natural'. Output: item_kind, item_id, piece_no from 1, n_pieces,
+    start_at, end_at, overlap_chars, n_chars, cut_kind, piece.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must lie between 0 and the limit")
@@ -159,9 +170,9 @@ def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
         for batch in it:
             rows = []
             for kind, key, text in zip(*(batch.column(c).to_pylist() for c in ("item_kind", "item_id", "text"))):
-                cut = "forced" if max(units(kind, text)) > limit else "natural"
                 pieces = split_item(kind, text, limit, overlap)
-                rows += [(kind, key, i + 1, len(pieces), a, b, o, len(p), cut, p) for i, (a, b, o, p) in enumerate(pieces)]
+                cut = "natural" if all(x[3] for x in pieces) else "forced"
+                rows += [(kind, key, i + 1, len(pieces), a, b, o, len(p), cut, p) for i, (a, b, o, _, p) in enumerate(pieces)]
             cols = list(zip(*rows)) or [()] * 10
             kinds = [pa.string(), pa.string(), *[pa.int32()] * 6, pa.string(), pa.string()]
             names = ["item_kind", "item_id", "piece_no", "n_pieces", "start_at", "end_at", "overlap_chars", "n_chars", "cut_kind", "piece"]

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -37,21 +38,31 @@ def test_grams_are_substrings(texts, k):
 @given(st.text(alphabet="가나다. \n!ab,", min_size=81, max_size=900), st.integers(0, 25))
 def test_pieces_cover_the_text(text, overlap):
     pieces = split.split_item("text", text, 80, overlap)
-    assert "".join(p[o:] for _, _, o, p in pieces) == text
     assert all(len(p) <= 80 for *_, p in pieces)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     assert all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
-    assert all(text[a - o : b] == p for a, b, o, p in pieces)
     before = 0
-    for k, (a, b, o, _) in enumerate(pieces):
-        assert o == (0 if k == 0 else min(overlap, before))
+    for k, (a, b, o, _, p) in enumerate(pieces):
+        assert text[a - o : b] == p or text[a - o : b].strip() == p
+        assert o == (0 if k == 0 else max(0, min(overlap, before, 80 - (b - a))))
         before = b - a
+    units = [u.strip() for u in re.split(r"\r?\n|(?<=[.!?])\s+", text)]
+    assert all(x[3] for x in pieces) == (max(map(len, units)) <= 80)
 
 
 def test_natural_cuts_are_kept():
     text = " ".join(f"문장 {i:02d} 은 이렇게 끝난다." for i in range(40))
     pieces = split.split_item("text", text, 120, 20)
-    assert all(p[3].rstrip().endswith(".") for p in pieces)
-    assert max(split.units("text", text)) <= 120
+    assert all(p[4].rstrip().endswith(".") and p[3] for p in pieces)
+    long = "가" * 110 + "."  # fits a piece, but not with the whole overlap
+    pieces = split.split_item("text", f"짧은 문장이다. {long} 또 하나. {long} 끝.", 120, 20)
+    assert [long in p[4] for p in pieces].count(True) == 2 and all(p[3] for p in pieces)
+
+
+def test_a_broken_merge_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(split, "merge", lambda *a: [0])
+    with pytest.raises(AssertionError):
+        split.split_item("text", "문장이다. " * 200)
 
 
 def test_table_pieces_repeat_the_head():
@@ -59,9 +70,12 @@ def test_table_pieces_repeat_the_head():
     pieces = split.split_item("table", table, 200, 40)
     assert all(p.startswith("| a | b |\r\n|---|---|\r\n") and len(p) <= 200 for *_, p in pieces)
     head = len("| a | b |\r\n|---|---|\r\n")
-    assert "".join(p[head + o :] for _, _, o, p in pieces) == table[head:]
+    assert "".join(x[4][head + x[2] :] for x in pieces) == table[head:]
     assert all(p[head:].startswith("| ") for *_, p in pieces)  # whole rows, in the overlap too
-    assert max(split.units("table", "| a |\n|---|\n| " + "y" * 900 + " |")) > 800
+    natural = lambda t: all(x[3] for x in split.split_item("table", t))
+    assert not natural("| a |\n|---|\n| " + "y" * 900 + " |") and not natural("| " + "h" * 900 + " |\n| x |")
+    head = "| " + "h" * 640 + " |\n|---|\n"
+    assert natural(head + "| " + "r" * 100 + " |\n| s |\n" * 3) and not natural(head + "| " + "r" * 200 + " |\n" * 3)
 
 
 def test_split_operator(spark):
@@ -233,3 +247,23 @@ def test_plan():
     assert mixture.plan({"a": 100, "b": 10}, [("a", 0.5, 1), ("b", 0.5, 3)]) == {"a": (0, 30), "b": (3, 0)}
     assert mixture.plan({}, [("a", 1.0, 1)]) == {"a": (0, 0)}
     assert mixture.plan({"a": 100}, [("a", 0.5, 1), ("b", 0.5, 3)]) == {"a": (1, 0), "b": (0, 0)}
+
+
+def test_many_items_take_one_scan(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = "가나다라마바사아자차카타파하abcdefghij0123456789"
+    items = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(20, 200)))) for i in range(300)]
+    docs = []
+    for i in range(120):
+        held = [t for _, t in rng.sample(items, rng.randrange(0, 4))]
+        docs.append((i, " ".join("".join(rng.choice(letters) for _ in range(60)) + (t if rng.random() < 0.5 else t[: rng.randrange(12, len(t) + 13)]) for t in [*held, ""])))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(tuple, leakage.leaks(d, i).collect()))
+    whole = rows()
+    grams = lambda t: {t[k : k + 12] for k in range(len(t) - 11)}
+    norm = {k: leakage.normalize(t) for k, t in docs}
+    want = {(k, n) for k, t in norm.items() for n, x in items if len(grams(x) & grams(t)) >= 0.5 * len(grams(x))}
+    assert {r[:2] for r in whole} == want and len(want) > 50
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 700)
+    monkeypatch.setattr(leakage, "SLICE_CHARS", 900)
+    assert rows() == whole
