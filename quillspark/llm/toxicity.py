@@ -20,17 +20,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import materialize
 from .fold import ALNUM, batches_by_size, mix, unify
 
 CLASSES = ("clean", "abusive", "hateful", "sexual")
 #: The most labelled documents that the model is fitted on; beyond, those of least hash are taken,
 #: half of them clean and half of other labels as far as there are so many.
 LABELLED_ROWS = 8000
+#: The most characters that they hold together: documents of the sample beyond, in the same order, are left out.
+LABELLED_CHARS = 48_000_000
 SLOTS, ORDERS, SEED = 1 << 20, (2, 3, 4), 11
 #: Features in more than this share of all documents are the corpus's own language and no evidence.
 COMMON = 0.005
-ROUNDS, EPOCHS, RATE, DECAY, SWAP_PENALTY, CLEAN_SENTENCES = 4, 6, 0.25, 2e-6, 0.05, 24_000
-BIAS, THRESHOLD = -5.0, 0.12
+ROUNDS, EPOCHS, RATE, DECAY, SWAP_PENALTY = 4, 6, 0.25, 2e-6, 0.05
+#: FOREIGN: before anything is learnt, a sentence carries its document's label if that share of its features is
+#: none of the corpus's own.
+BIAS, THRESHOLD, FOREIGN = -5.0, 0.12, 0.35
 
 # Words for groups of people, by language; sorted by form only, no statement about any group.
 GROUPS = {
@@ -197,8 +202,8 @@ _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n")
 def common_slots(documents: DataFrame, share: float = COMMON) -> np.ndarray:
     """The share of all documents that a slot occurs in, where that exceeds `share`; else 0.
 
-    A task reports the slots of at least half that share among its own documents, so that what it
-    sends stays far below the number of slots; a slot is common if the reports add up to the share.
+    A task reports every slot that it has seen with its number of documents, SLOTS rows at most, so that
+    the sums are exact however the rows fall into tasks; only the sums are held against the share.
     """
 
     def run(it):
@@ -210,7 +215,7 @@ def common_slots(documents: DataFrame, share: float = COMMON) -> np.ndarray:
                 of, r, s = features(texts[lo:hi])
                 seen = np.sort(of[r] * SLOTS + s)
                 count += np.bincount(seen[np.concatenate([[True], seen[1:] != seen[:-1]])] % SLOTS, minlength=SLOTS) if len(seen) else 0
-        at = np.flatnonzero(count >= max(1, share / 2 * n))
+        at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(count[at], n))], names=["slot", "n"])
 
     sums = documents.where("text is not null").select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -257,10 +262,6 @@ def train(labelled: list[tuple[str, str]], common: np.ndarray, seed: int = SEED)
         elif (k := re.sub(r"\d+", "", s)) not in seen:
             seen.add(k)
             keep.append(i)
-    clean = [i for i in keep if not y_doc[doc_of[i]]]
-    if len(clean) > CLEAN_SENTENCES:
-        clean = list(rng.choice(clean, CLEAN_SENTENCES, replace=False))
-        keep = sorted([i for i in keep if y_doc[doc_of[i]]] + clean)
     sentences, doc_of = [sentences[i] for i in keep], doc_of[keep] if keep else doc_of
     seeds = [(s, CLASSES.index(c)) for c, many in SEEDS.items() for s in many]
     pairs, extra = [], []
@@ -280,19 +281,20 @@ def train(labelled: list[tuple[str, str]], common: np.ndarray, seed: int = SEED)
 
     # at first the sentences that share least with the corpus carry the label
     p_bad = np.where(y_of > 0, np.diff(x.at)[:n] / total, 0.0)
-    ignore = np.zeros(n, bool)
+    ignore, other = np.zeros(n, bool), np.zeros(n, bool)
     w = b = None
     for turn in range(ROUNDS):
         y = np.zeros(n, np.int64)
         for d in bad_docs:
             own = np.arange(*np.searchsorted(doc_of, [d, d + 1]))
             top = p_bad[own].max()
-            carry = own[p_bad[own] >= max(0.999 * top, 0.5)]
+            carry = own[p_bad[own] >= max(0.999 * top, 0.5 if turn else FOREIGN)]
             y[carry] = y_doc[d]
             # the others of the document may be bad as well: those in doubt teach neither
             doubt = own[p_bad[own] >= (0.05 if turn else 0)]
             ignore[doubt] = True
             ignore[carry] = turn > 1 and top < 0.1  # nothing in it speaks for the label
+            ignore[carry[other[carry] & (turn > 0)]] = True  # what is like it has another label elsewhere
         use = np.flatnonzero(~ignore)
         last = turn == ROUNDS - 1
         if last:
@@ -306,24 +308,29 @@ def train(labelled: list[tuple[str, str]], common: np.ndarray, seed: int = SEED)
             there = doc_of % 2 != half
             p[there] = x.score(w, b)[:n][there]
         p_bad = 1 - p[:, 0]
+        likeliest = p[:, 1:].argmax(axis=1) + 1
+        other = (likeliest != y_of) & (y_of > 0) & (p[np.arange(n), likeliest] > 2 * p[np.arange(n), y_of]) & (p_bad > 0.5)
         ignore = (y_of == 0) & (p_bad > 0.9)
     return w, b
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[tuple[str, str]]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, chars: int = LABELLED_CHARS) -> list[tuple[str, str]]:
     """At most `rows` labelled documents as (text, label): the label most reviewers gave, ties to the
     later one in the order of CLASSES; labels that are none of CLASSES are left out.
 
     Clean documents and others take turns by hash, so that either has half of the sample at least, or
-    all of its documents, whatever the number of labels."""
+    all of its documents, whatever the number of labels. Texts after the first LABELLED_CHARS characters of
+    the sample are left out, so that what the driver holds is bounded."""
     order = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("label"))
     votes = labels.where(F.col("label").isin(*CLASSES) & F.col("doc_id").isNotNull()).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     one = votes.groupBy("doc_id").agg(F.max_by("label", F.struct("n", order)).alias("label"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sides = [one.where(side).orderBy(*by_hash).limit(rows) for side in (F.col("label") != "clean", F.col("label") == "clean")]
     turn = F.row_number().over(W.partitionBy(F.col("label") == "clean").orderBy(*by_hash))  # over 2 * rows at most
-    some = sides[0].union(sides[1]).withColumn("turn", turn).orderBy("turn", F.col("label") == "clean").limit(rows).select("doc_id", "label")
-    got = documents.where("text is not null").join(some, "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    some = sides[0].union(sides[1]).withColumn("turn", turn).orderBy("turn", F.col("label") == "clean").limit(rows)
+    texts = documents.where("text is not null").join(some, "doc_id").select("doc_id", "text", "label", "turn").dropDuplicates(["doc_id"])
+    so_far = F.sum(F.length("text")).over(W.orderBy("turn", F.col("label") == "clean").rowsBetween(W.unboundedPreceding, 0))  # over `rows` at most
+    got = materialize(texts, "labelled").withColumn("so_far", so_far).where(F.col("so_far") <= chars).orderBy("doc_id").select("text", "label").collect()
     return [(r.text, r.label) for r in got]
 
 

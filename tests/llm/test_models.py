@@ -76,6 +76,30 @@ def test_groups_do_not_change_the_score(spark):
         assert p(f"{group}들은 다 쫓아내야 나라가 깨끗해진다.") > 0.5
 
 
+def test_more_bad_labels_than_the_sample_holds(spark):
+    docs = [(i, t, c) for i, t, c in make(11, 1500)]
+    bad = [(i, c) for i, _, c in docs if c != "clean"]
+    df = spark.createDataFrame([(i, t, "s") for i, t, _ in docs], "doc_id long, text string, source string")
+    labels = spark.createDataFrame(bad + [(i, "clean") for i, _, c in docs if c == "clean"][:400], "doc_id long, label string")
+    assert len(bad) > 200
+    flagged = {r.doc_id for r in toxicity.scores(df, labels, rows=200).where(f"score >= {toxicity.THRESHOLD}").collect()}
+    true = {i for i, _ in bad}
+    assert len(flagged & true) >= 0.95 * len(flagged) and len(flagged & true) >= 0.9 * len(true)
+
+
+def test_common_counts_do_not_depend_on_the_layout(spark):
+    docs = make(5, 300)
+    df = spark.createDataFrame([(i % 3, t) for i, t, _ in docs], "s int, text string")
+    one, eight, sorted_ = (toxicity.common_slots(x) for x in (df.coalesce(1), df.repartition(8), df.repartitionByRange(3, "s")))
+    assert (one == eight).all() and (one == sorted_).all() and (one > 0).any()
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    df = spark.createDataFrame([(i, "x" * (50 if i else 5000), "clean" if i % 2 else "abusive") for i in range(40)], "doc_id long, text string, label string")
+    got = toxicity.labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "label"), chars=600)
+    assert sum(len(t) for t, _ in got) <= 600
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "회계 자료를 보관한다.", "s")], "doc_id long, text string, source string")
     rows = toxicity.scores(docs, spark.createDataFrame([], "doc_id long, label string")).collect()
