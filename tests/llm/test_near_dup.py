@@ -41,6 +41,17 @@ def test_pairs_match_brute_force(spark, monkeypatch, heavy):
     assert not missed if heavy == 1 else len(missed) <= 0.01 * len(want)
 
 
+@pytest.mark.parametrize("run", [1, 3, 10, 1000])
+def test_long_runs_are_compared_in_blocks(spark, run):
+    rng = random.Random(run)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 10 + i % 7]), i, rng.randrange(4)) for i in range(300)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "k long, tid long, c int").repartition(3)
+    got = {tuple(r) for r in near_dup.pairs_within(df, lambda x, y: x[2] != y[2], run).collect()}
+    once = sorted(set(rows))
+    assert got == {(min(i, j), max(i, j)) for k, i, c in once for m, j, d in once if k == m and i < j and c != d}
+
+
 def test_small_sets_are_exact(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "boundary", lambda _: 1 << 62)
     rng = random.Random(9)
