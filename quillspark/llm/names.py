@@ -1,14 +1,19 @@
 """Problem 6: variant spellings of names typed by people.
 
 Names are brought to one string form (keyboard layout undone, spaces and marks dropped, Hangul as
-single letters). Names that parse exactly as a place with a known kind of organisation give the
-places; a place next to a better supported one is a misspelling of it. Every place and kind gives
-the surface forms it may be typed as, and each name is linked to the nearest form within a radius.
+single letters). Where names parse exactly as a place with a kind of organisation that is listed here,
+the lists help: they give the places (a place next to a far better supported one is a misspelling of
+it), every place and kind gives the surface forms it may be typed as, and a name is linked to the
+nearest form within a radius. All other names, of organisations of any kind and of persons, are linked
+with each other: within a radius that grows with their length, in any order of their words, without
+words of legal form, and with initials or shortened words; each points to the nearest better supported
+spelling, and what hangs together is one agency.
 
 Method of the radius joins: metric-space partitioning under the true edit metric (Levenshtein).
-Forms go to the cell of their nearest pivot; a name goes to every cell whose pivot is at most twice
-the radius farther than its nearest one, which by the triangle inequality is complete. Inside the
-cells the join is exact.
+Strings go to the cell of their nearest pivot and, in it, to the ring of their distance from the pivot; a
+name goes to every cell and ring that the triangle inequality leaves possible: cells whose pivot is at
+most twice the radius farther than its nearest one and within the cell's extent and the radius, rings
+within the radius of its own distance. That is complete, and inside the rings the join is exact.
 """
 
 from __future__ import annotations
@@ -20,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .components import connected_components
 from .fold import unify
 
-RADIUS, PIVOTS, MOST_PIVOTS = 2, 64, 1024
+RADIUS, PIVOTS = 2, 64
+#: A spelling with that many documents or questions is no slip of another, unless the other has RATIO times as many.
+SUPPORTED, RATIO = 5, 5
 
 # Kinds of organisations, the short forms that people use, and the English name.
 KINDS = {
@@ -49,6 +57,12 @@ FINALS = ["", "ㄱ", "ㄲ", "ㄱㅅ", "ㄴ", "ㄴㅈ", "ㄴㅎ", "ㄷ", "ㄹ", "
 ROMAN_INITIALS = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
 ROMAN_MEDIALS = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
 ROMAN_FINALS = ["", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t"]
+# Words of legal form, which say nothing about whose name it is, and short forms of given names.
+LEGAL = frozenset("주식회사 유한회사 합자회사 재단법인 사단법인 co company corp corporation inc incorporated limited llc ltd the of and for".split())
+NICKNAMES = {
+    "bob": "robert", "rob": "robert", "bill": "william", "will": "william", "jim": "james", "mike": "michael", "dave": "david", "dan": "daniel", "tom": "thomas", "joe": "joseph",
+    "sam": "samuel", "ben": "benjamin", "chris": "christopher", "matt": "matthew", "tony": "anthony", "steve": "steven", "liz": "elizabeth", "kate": "katherine", "sue": "susan", "peggy": "margaret",
+}
 _KOREAN = re.compile(r"[가-힣]")
 
 
@@ -159,25 +173,69 @@ def variants(s: str) -> list[tuple[str, int]]:
     return sorted(out.items())
 
 
+def words_of(name: str) -> list[str]:
+    """The words of a name, without those of legal form where others are left, given names in full."""
+    s = unicodedata.normalize("NFKC", unify(name)).lower()
+    s = re.sub(r"\(재+\)", " 재단법인 ", re.sub(r"\(주+\)", " 주식회사 ", re.sub(r"\(사+\)", " 사단법인 ", s)))
+    words = ["".join(filter(str.isalnum, w)) for w in re.split(r"[\s,/&·]+", re.sub(r"(주식회사|유한회사|재단법인|사단법인)", r" \1 ", s))]
+    words = [w for w in words if w]
+    return [NICKNAMES.get(w, w) for w in words if w not in LEGAL] or words
+
+
+def free_forms(name: str) -> list[tuple[str, str]]:
+    """(kind, string) of a name of no listed kind: 'near' strings (as typed, and words sorted) may differ by edits,
+    'short' ones (initials, initial and last name) stand for the name if they are typed as such, and 'start' ones
+    gather names whose words begin alike."""
+    w = words_of(name)
+    out = {("words", " ".join(sorted(w))), ("near", to_letters("".join(w))), ("near", to_letters("".join(sorted(w)))), ("near", to_letters(normal(name)))}
+    if len(w) > 1 and all(x.isascii() for x in w):
+        out |= {("short", w[0][0] + w[-1]), ("short", w[-1] + w[0][0])}
+        if len(w) > 2:
+            out.add(("short", "".join(x[0] for x in w)))
+        if all(len(x) >= 3 for x in w):
+            out.add(("start", " ".join(x[:3] for x in w)))
+    return sorted(x for x in out if x[1])
+
+
+def shortened(a: str, b: str) -> bool:
+    """Whether two names are the same word by word, but for words of one that only begin those of the other."""
+    x, y = words_of(a), words_of(b)
+    return len(x) == len(y) and all(p.startswith(q) or q.startswith(p) for p, q in zip(x, y)) and (all(len(p) <= len(q) for p, q in zip(x, y)) or all(len(p) >= len(q) for p, q in zip(x, y)))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: int, pivots: int | None = None) -> DataFrame:
     """(left key, right key, distance) of all pairs of strings within the radius of the edit metric.
 
     Both sides have the columns key and s. Complete: see the module's text. The pivots are strings of
-    the right side, those of least hash; without a number, the root of its size, from PIVOTS to MOST_PIVOTS.
+    the right side, those of least hash; without a number, the root of the number of its strings.
     """
-    if pivots is None:
-        pivots = int(min(MOST_PIVOTS, max(PIVOTS, right.count() ** 0.5)))
-    chosen = [r.s for r in right.select("s").distinct().orderBy(F.xxhash64("s"), "s").limit(pivots).collect()] or [""]
-    far = lambda: F.transform(F.array(*map(F.lit, chosen)), lambda p: F.levenshtein(F.col("s"), p))
-    cells = right.select("key", "s", far().alias("d")).select(F.col("key").alias("rk"), F.col("s").alias("rs"), F.array_position("d", F.array_min("d")).alias("cell"))
-    near = left.select("key", "s", far().alias("d")).withColumn("least", F.array_min("d")).select(
-        F.col("key").alias("lk"), F.col("s").alias("ls"),
-        F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(chosen))), lambda i: F.element_at("d", i) <= F.col("least") + 2 * radius)).alias("cell"),
-    )
-    both = near.join(cells.withColumn("cell", F.col("cell").cast("int")), "cell").where(F.abs(F.length("ls") - F.length("rs")) <= radius)
+    spark = left.sparkSession
+    near, cells = ring_sides(left, right, radius, pivots)
+    both = near.repartition(2 * spark.sparkContext.defaultParallelism, "cell", "ring").join(cells, ["cell", "ring"]).where(F.abs(F.length("ls") - F.length("rs")) <= radius)
     return both.withColumn("distance", F.levenshtein("ls", "rs", radius)).where("distance >= 0").select("lk", "rk", "distance")
 
 
+def ring_sides(left: DataFrame, right: DataFrame, radius: int, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a radius join: (lk, ls, cell, ring), a row for each ring to look into, and (rk, rs, cell,
+    ring), one row each."""
+    spark = left.sparkSession
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    strings = right.select("s").distinct()
+    if pivots is None:
+        pivots = int(max(PIVOTS, strings.count() ** 0.5))
+    chosen = [r.s for r in strings.orderBy(F.xxhash64("s"), "s").limit(pivots).collect()] or [""]  # the root of the number of names
+    one = spark.createDataFrame([(chosen,)], "pivots array<string>")
+    measured = lambda d: d.repartition(tasks, "s").crossJoin(F.broadcast(one)).withColumn("d", F.transform("pivots", lambda p: F.levenshtein(F.col("s"), p))).withColumn("least", F.array_min("d")).drop("pivots")  # one row
+    cells = materialize(measured(right).select(F.col("key").alias("rk"), F.col("s").alias("rs"), F.array_position("d", F.col("least")).cast("int").alias("cell"), F.col("least").alias("ring")), "cells")
+    reach = {r.cell: r.reach for r in cells.groupBy("cell").agg(F.max("ring").alias("reach")).collect()}  # a row per pivot
+    extent = spark.createDataFrame([([reach.get(i + 1, -1) for i in range(len(chosen))],)], "reach array<int>")
+    possible = lambda i: (F.element_at("reach", i) >= 0) & (F.element_at("d", i) <= F.col("least") + 2 * radius) & (F.element_at("d", i) <= F.element_at("reach", i) + radius)
+    near = measured(left).crossJoin(F.broadcast(extent)).withColumn("cell", F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(chosen))), possible)))  # one row
+    at = F.element_at("d", F.col("cell"))
+    rings = F.sequence(F.greatest(F.lit(0), at - radius), F.least(at + radius, F.element_at("reach", F.col("cell"))))
+    return near.select(F.col("key").alias("lk"), F.col("s").alias("ls"), "cell", F.explode(rings).alias("ring")), cells
+
+
 def observed_names(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(name, n): the agencies in chunk metadata and in the filters of questions, as stored, with the
     number of documents and questions that have them. Null and blank names are left out."""
@@ -187,11 +245,72 @@ def observed_names(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def link(names: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(name, agency, cost) of (name, n): the agency that a spelling belongs to, as place and kind.
+    """(name, agency, cost) of (name, n): the agency that a spelling belongs to, as place and kind or, for names
+    of no listed kind, as the best supported spelling.
 
-    A name that is near to no form, or equally near to forms of different agencies, is an agency of
-    its own and has a null cost.
+    A name that is near to no other, or equally near to different agencies, is an agency of its own and
+    has a null cost. Of equally supported spellings the one that sorts first stands for all.
     """
+    seen = materialize(names, "names")
+    listed = materialize(link_listed(seen, radius), "listed")
+    free = link_free(seen, listed)
+    pick = F.coalesce("to_agency", "agency", "name")
+    return listed.join(free, "name", "left").select("name", pick.alias("agency"), F.coalesce("cost", "free_cost").alias("cost"))
+
+
+def link_free(seen: DataFrame, listed: DataFrame) -> DataFrame:
+    """(name, to_agency, free_cost) of the names that no list knows and that hang together with others."""
+
+    def forms(it):
+        for batch in it:
+            rows = [(x, k, v) for x in batch.column(0).to_pylist() for k, v in free_forms(x)]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["key", "kind", "s"])
+
+    f = materialize(seen.select("name").mapInArrow(forms, "key string, kind string, s string"), "free_forms")
+    alone = listed.where("cost is null").select(F.col("name").alias("key"))
+    kind = lambda k: f.where(F.col("kind") == k).select("key", "s")
+    mine = lambda k: kind(k).join(alone, "key", "left_semi")
+    # one letter in six may differ, two in twelve
+    size = F.least(F.length("ls"), F.length("rs"))
+    near, cells = ring_sides(mine("near"), kind("near"), 2)
+    both = near.join(cells, ["cell", "ring"]).where("lk <> rk").withColumn("distance", F.levenshtein("ls", "rs", 2))
+    edits = both.where((F.col("distance") >= 0) & (F.col("distance") * 6 <= size)).select(F.col("lk").alias("a"), F.col("rk").alias("b"), F.col("distance").alias("free_cost"))
+    short = mine("near").alias("x").join(kind("short").alias("y"), F.col("x.s") == F.col("y.s")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).where("a <> b").distinct()
+
+    def sole(pairs: DataFrame) -> DataFrame:
+        """The pairs whose first name has partners of one set of words only: initials of several names tell nothing."""
+        of = kind("words").select(F.col("key").alias("b"), "s")
+        one = pairs.join(of, "b").groupBy("a").agg(F.count_distinct("s").alias("k")).where("k = 1").select("a")
+        return pairs.join(one, "a").select("a", "b", F.lit(1).alias("free_cost"))
+
+    short = sole(short)
+
+    def check(it):
+        for batch in it:
+            yield batch.filter(pa.array([shortened(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+
+    # names of one beginning: the shorter one looks for what it begins
+    start = mine("start").alias("x").join(kind("start").alias("y"), (F.col("x.s") == F.col("y.s")) & (F.length("x.key") < F.length("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    start = sole(start.mapInArrow(check, "a string, b string"))
+    edges = materialize(edits.union(short).union(start).groupBy("a", "b").agg(F.min("free_cost").alias("free_cost")), "name_edges")
+    n = seen.select("name", "n")
+    e = edges.join(n.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
+    # two well supported names that differ are two agencies; else the worse supported one points to the nearest
+    e = e.where((F.col("free_cost") == 0) | (F.least("na", "nb") < SUPPORTED) | (F.greatest("na", "nb") >= RATIO * F.least("na", "nb")))
+    both_ways = e.select("a", "b", "free_cost", "na", "nb").union(e.select("b", "a", "free_cost", "nb", "na"))
+    up = both_ways.where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))).join(alone.withColumnRenamed("key", "a"), "a", "left_semi")
+    to = materialize(up.groupBy("a").agg(F.min(F.struct("free_cost", (-F.col("nb")).alias("r"), "b")).alias("x")).select("a", "x.b", "x.free_cost"), "name_links")
+    comp = connected_components(to.select("a", "b")).withColumnRenamed("node", "name")
+    known = comp.join(seen, "name").join(listed.select("name", F.when(F.col("cost").isNotNull(), F.col("agency")).alias("listed_as")), "name")
+    # the agency of a component is that of its members that the lists know, else its best supported spelling
+    best = known.groupBy("component").agg(F.coalesce(F.max_by("listed_as", F.when(F.col("listed_as").isNotNull(), F.col("n"))), F.min_by("name", F.struct(-F.col("n"), F.col("name")))).alias("to_agency"))
+    own = comp.join(best, "component").join(alone.withColumnRenamed("key", "name"), "name", "left_semi")
+    return own.join(to.select(F.col("a").alias("name"), "free_cost"), "name", "left").select("name", "to_agency", F.coalesce("free_cost", F.lit(0)).alias("free_cost"))
+
+
+def link_listed(seen: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(name, agency, cost) of (name, n) for names of the kinds listed here; others have a null agency and cost."""
 
     def prepare(it):
         for batch in it:
@@ -207,7 +326,6 @@ def link(names: DataFrame, radius: int = RADIUS) -> DataFrame:
             t = pa.list_(pa.struct([("s", pa.string()), ("cost", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], t), pa.array(cols[4], pa.list_(pa.string()))], names=["name", "place", "kind", "forms", "others"])
 
-    seen = materialize(names, "names")
     known = materialize(seen.select("name").mapInArrow(prepare, "name string, place string, kind string, forms array<struct<s:string,cost:int>>, others array<string>").join(seen, "name"), "parsed")
     places = known.where("place is not null").groupBy("place").agg(F.count("*").alias("n_names"), F.sum("n").alias("n"))
 
@@ -220,7 +338,8 @@ def link(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = radius_join(p, p, 1).where("lk <> rk").select("lk", "rk").union(known.where("place is not null").select(F.col("place").alias("lk"), F.explode("others").alias("rk"))).distinct()
     x, y = places.alias("x"), places.alias("y")
     rank = lambda t: F.struct(f"{t}.n_names", f"{t}.n", f"{t}.place")
-    worse = near.join(x, F.col("lk") == F.col("x.place")).join(y, F.col("rk") == F.col("y.place")).where(rank("x") < rank("y")).select(F.col("lk").alias("place")).distinct()
+    slip = (F.col("x.n_names") < 4) | (F.col("x.n") < SUPPORTED) | (F.col("y.n_names") >= 3 * F.col("x.n_names")) | (F.col("y.n") >= 3 * F.col("x.n"))
+    worse = near.join(x, F.col("lk") == F.col("x.place")).join(y, F.col("rk") == F.col("y.place")).where((rank("x") < rank("y")) & slip).select(F.col("lk").alias("place")).distinct()
     good = places.join(worse, "place", "left_anti").select("place")
 
     def forms(it):
@@ -235,7 +354,7 @@ def link(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     best = hits.groupBy("name", "agency").agg(F.min("cost").alias("cost"))
     least = best.groupBy("name").agg(F.min("cost").alias("cost"))
     one = best.join(least, ["name", "cost"]).groupBy("name", "cost").agg(F.min("agency").alias("agency"), F.count("*").alias("k")).where("k = 1")
-    return seen.select("name").join(one, "name", "left").select("name", F.coalesce("agency", F.col("name")).alias("agency"), "cost")
+    return seen.select("name").join(one, "name", "left").select("name", "agency", "cost")
 
 
 def found(chunks: DataFrame, questions: DataFrame) -> DataFrame:

@@ -267,3 +267,52 @@ def test_many_items_take_one_scan(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 700)
     monkeypatch.setattr(leakage, "SLICE_CHARS", 900)
     assert rows() == whole
+
+
+def test_names_of_no_listed_kind(spark):
+    groups = [
+        ["국토교통부", "국토교퉁부", "국토 교통부"], ["조달청", "조달쳥"], ["Samsung Electronics", "Samsumg Electronics", "Electronics, Samsung", "Samsung Electronics Co., Ltd.", "Samsung Electr."],
+        ["William Harrington", "Bill Harrington", "Harrington, William", "W. Harrington", "William Harringtn"], ["National Data Standards Agency", "NDSA"],
+        ["한국정보기록원", "한국정보기륵원"], ["강원특별자치도", "강원특별자지도"],
+    ]
+    rows = [(x, 30 if i == 0 else 1) for g in groups for i, x in enumerate(g)]
+    others = [("전주상공회의소", 20), ("진주상공회의소", 18), ("John Smith", 3), ("Jane Smith", 3), ("J. Smith", 1), ("Q", 1)]
+    got = {r.name: r.agency for r in names.link(spark.createDataFrame(rows + others, "name string, n long")).collect()}
+    for g in groups:
+        assert {got[x] for x in g} == {g[0]}, {x: got[x] for x in g}
+    for x, _ in others:
+        assert got[x] == x, (x, got[x])
+
+
+def test_ring_join_is_complete_and_replicates_little(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ㄱㄴㄷㄹㅁㅂㅅㅏㅓㅗㅜㅣ") for _ in range(rng.randrange(6, 22))) for _ in range(900)]
+    typed = []
+    for x in base[:500]:
+        y = list(x)
+        for _ in range(rng.randrange(3)):
+            y[rng.randrange(len(y))] = rng.choice("ㅏㅓㅗ")
+        typed.append("".join(y))
+    left, right = (spark.createDataFrame(list(enumerate(v)), "key long, s string") for v in (typed, base))
+    got = {tuple(r) for r in names.radius_join(left, right, 2).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(i, j, d) for i, a in enumerate(typed) for j, b in enumerate(base) if abs(len(a) - len(b)) <= 2 and (d := distance(a, b)) <= 2}
+    assert got == want and len(want) >= 500
+    near, cells = names.ring_sides(left, right, 2)
+    compared = near.join(cells, ["cell", "ring"]).count()
+    assert cells.count() == len(base) and compared <= 0.5 * len(typed) * len(base)
+
+
+def test_two_places_one_letter_apart(spark):
+    kinds = ["시청", "대학교", "의료원", "문화재단", "연구원"]
+    both = [(p + k, 9 if p == "전주" else 8) for p in ("전주", "진주") for k in kinds]
+    got = {r.name: r.agency for r in names.link(spark.createDataFrame(both + [("잔주시청", 1)], "name string, n long")).collect()}
+    assert {got[p + k] for p in ("전주", "진주") for k in kinds} == {f"{p}|{k}" for p in ("전주", "진주") for k in kinds}
