@@ -219,10 +219,11 @@ def common_slots(documents: DataFrame, share: float = COMMON) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(count[at], n))], names=["slot", "n"])
 
     sums = documents.where("text is not null").select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = sums.where("slot = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    got = sums.where("slot >= 0").crossJoin(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(3.0), share * F.col("total"))).select("slot", (F.col("n") / F.col("total")).alias("share")).toPandas()  # SLOTS rows at most
+    got = sums.where("slot = -1 or n > 3").toPandas()  # SLOTS rows and one at most
+    total = got.loc[got.slot == -1, "n"].sum()
+    got = got[(got.slot >= 0) & (got.n > share * total)]
     common = np.zeros(SLOTS)
-    common[got.slot.to_numpy(np.int64)] = got["share"].to_numpy(float)
+    common[got.slot.to_numpy(np.int64)] = got["n"].to_numpy(float) / max(1, total)
     return common
 
 
@@ -328,7 +329,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLE
     sides = [one.where(side).orderBy(*by_hash).limit(rows) for side in (F.col("label") != "clean", F.col("label") == "clean")]
     turn = F.row_number().over(W.partitionBy(F.col("label") == "clean").orderBy(*by_hash))  # over 2 * rows at most
     some = sides[0].union(sides[1]).withColumn("turn", turn).orderBy("turn", F.col("label") == "clean").limit(rows)
-    texts = documents.where("text is not null").join(some, "doc_id").select("doc_id", "text", "label", "turn").dropDuplicates(["doc_id"])
+    texts = documents.where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "label", "turn").dropDuplicates(["doc_id"])
     so_far = F.sum(F.length("text")).over(W.orderBy("turn", F.col("label") == "clean").rowsBetween(W.unboundedPreceding, 0))  # over `rows` at most
     got = materialize(texts, "labelled").withColumn("so_far", so_far).where(F.col("so_far") <= chars).orderBy("doc_id").select("text", "label").collect()
     return [(r.text, r.label) for r in got]
