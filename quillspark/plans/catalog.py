@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import tables as ft
 from ..functions import text as fx
 from ..operators import chunking, evaluation, images, index, metadata, profile, reports, retrieval
-from ..session import table as t
+from ..session import materialize, table as t
+from ..sources.parsers import embed_column, term_embedder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,6 +44,32 @@ def chunks_once(s, d):
     return c.groupBy("chunk_id").agg(F.min_by(F.struct("doc_id", "text", "metadata"), F.struct(F.col("loaded_at").isNull(), "loaded_at")).alias("c")).select("chunk_id", "c.*")
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def built(s, d, name: str, make):
+    """A table or an index that several queries read: made once per application and folder."""
+    at = (s.sparkContext.applicationId, d, name)
+    if at not in _BUILT:
+        _BUILT[at] = make()
+    return _BUILT[at]
+
+
+def collection(s, d):
+    """The chunks without redeliveries, as a written table."""
+    return built(s, d, "chunks", lambda: materialize(chunks_once(s, d), "chunks"))
+
+
+def chunk_index(s, d):
+    return built(s, d, "index", lambda: retrieval.lexical_index(collection(s, d), "chunk_id", "text"))
+
+
+def chunk_vectors(s, d):
+    """(key, vector) of the chunks, by the stand-in for a model that SQL can follow."""
+    make = lambda: embed_column(collection(s, d).select(F.col("chunk_id").alias("key"), "text"), embedder=term_embedder()).select("key", "vector")
+    return built(s, d, "vectors", lambda: materialize(make(), "vectors"))
+
+
 _CHUNKS = "(select chunk_id, first(doc_id) as doc_id, first(text) as text, first(metadata) as metadata from sample_chunks group by chunk_id)"
 
 # ---- text ------------------------------------------------------------------------------------
@@ -283,52 +310,92 @@ _MATCH = "len(list_filter(map_entries(coalesce(filters, map([]::varchar[], []::v
 
 @query("bm25_topk", f"with {_BM25} {_RANK % ('bm25', 5)}")
 def _(s, d):
-    return retrieval.top_k(retrieval.bm25_scores(asked(s, d), chunks_once(s, d), "chunk_id", "text"), 5).select("query_id", "key", "score", "rank")
+    return retrieval.top_k(retrieval.bm25(asked(s, d), chunk_index(s, d)), 5).select("query_id", "key", "score", "rank")
+
+
+_PLAIN = "kept as (select b.query_id, b.key, b.score from %s b join asked a using (query_id) join once c on c.chunk_id = b.key where " + _MATCH + ")"
 
 
-@query("bm25_filtered", f"with {_BM25}, kept as (select b.query_id, b.key, b.score from bm25 b join asked a using (query_id) join once c on c.chunk_id = b.key where {_MATCH}) {_RANK % ('kept', 5)}")
+@query("bm25_filtered", f"with {_BM25}, {_PLAIN % 'bm25'} {_RANK % ('kept', 5)}")
 def _(s, d):
-    docs = chunks_once(s, d)
-    return retrieval.top_k(retrieval.filter_plain(retrieval.bm25_scores(asked(s, d), docs, "chunk_id", "text"), asked(s, d), docs, "chunk_id"), 5).select("query_id", "key", "score", "rank")
+    return retrieval.search("openai", "bm25", asked(s, d), collection(s, d), "chunk_id", chunk_index(s, d)).select("query_id", "key", "score", "rank")
 
 
-@query("lexical_topk", f"with {_INDEX}, {_COS}, kept as (select b.query_id, b.key, b.score from cosine b join asked a using (query_id) join once c on c.chunk_id = b.key where {_MATCH}) {_RANK % ('kept', 3)}")
+@query("lexical_topk", f"with {_INDEX}, {_COS}, {_PLAIN % 'cosine'} {_RANK % ('kept', 3)}")
 def _(s, d):
-    docs = chunks_once(s, d)
-    return retrieval.top_k(retrieval.filter_plain(retrieval.cosine_scores(asked(s, d), docs, "chunk_id", "text"), asked(s, d), docs, "chunk_id"), 3).select("query_id", "key", "score", "rank")
+    return retrieval.search("baseline", "lexical", asked(s, d), collection(s, d), "chunk_id", chunk_index(s, d)).select("query_id", "key", "score", "rank")
 
 
 _NORM = "(select query_id, key, case when hi = lo then case when hi > 0 then 1.0 else 0.0 end else (score - lo) / (hi - lo) end as norm from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from %s))"
-_HYBRID = f"""{_BM25}, {_COS}, c50 as ({_RANK % ('cosine', 50)}), b50 as ({_RANK % ('bm25', 50)}),
-cn as {_NORM % 'c50'}, bn as {_NORM % 'b50'},
-fused as (select coalesce(cn.query_id, bn.query_id) as query_id, coalesce(cn.key, bn.key) as key, round(0.8 * coalesce(cn.norm, 0) + (1 - 0.8) * coalesce(bn.norm, 0), 4) as score from cn full join bn on cn.query_id = bn.query_id and cn.key = bn.key)"""
+_H = "('0x' || substr(md5(term), 1, 8))::bigint"
+_VECTORS = f"""
+cv as (select chunk_id, {_H} % 64 as d, sum(tf * case when {_H} >= 2147483648 then 1 else -1 end)::double as x from post group by all),
+qv as (select query_id, {_H} % 64 as d, sum(qtf * case when {_H} >= 2147483648 then 1 else -1 end)::double as x from qpost group by all),
+cl as (select chunk_id, sqrt(sum(x * x)) as a from cv group by chunk_id), ql as (select query_id, sqrt(sum(x * x)) as b from qv group by query_id),
+vdots as (select query_id, chunk_id, sum(cv.x * qv.x) as dot from cv join qv using (d) group by all),
+dense as (select a.query_id, c.chunk_id as key, coalesce(round(dot / nullif(cl.a * ql.b, 0), 6), 0) as score
+  from asked a cross join once c left join vdots v on v.query_id = a.query_id and v.chunk_id = c.chunk_id left join cl on cl.chunk_id = c.chunk_id left join ql on ql.query_id = a.query_id)"""
+_FOLDED = _SQUEEZE % "lower(nfc_normalize(%s))"
+_MATCH_FOLDED = f"len(list_filter(map_entries(coalesce(filters, map([]::varchar[], []::varchar[]))), lambda e: {_FOLDED % "coalesce(e.value, '')"} <> '' and not contains({_FOLDED % "coalesce(metadata[e.key], '')"}, {_FOLDED % "coalesce(e.value, '')"}))) = 0"
+
+
+def _dense_filtered(most: int) -> str:
+    """SQL of the dense search with the normalised filter: `most` rows, out of 100 for queries with filters."""
+    return f"""pool as (select query_id, key, score, row_number() over (partition by query_id order by score desc, key) as r from dense),
+near as (select p.query_id, p.key, p.score from pool p join asked a using (query_id) join once c on c.chunk_id = p.key
+  where r <= case when coalesce(cardinality(filters), 0) > 0 then 100 else {most} end and {_MATCH_FOLDED})"""
+
+
+def _fused(dense: str, sparse: str) -> str:
+    return f"""d50 as ({_RANK % (dense, 50)}), b50 as ({_RANK % (sparse, 50)}), dn as {_NORM % 'd50'}, bn as {_NORM % 'b50'},
+fused as (select coalesce(dn.query_id, bn.query_id) as query_id, coalesce(dn.key, bn.key) as key, round(0.8 * coalesce(dn.norm, 0) + (1 - 0.8) * coalesce(bn.norm, 0), 4) as score from dn full join bn on dn.query_id = bn.query_id and dn.key = bn.key)"""
 
 
-def hybrid(s, d, k: int):
-    docs, q = chunks_once(s, d), asked(s, d)
-    dense = retrieval.top_k(retrieval.cosine_scores(q, docs, "chunk_id", "text"), retrieval.CANDIDATES)
-    sparse = retrieval.top_k(retrieval.bm25_scores(q, docs, "chunk_id", "text"), retrieval.CANDIDATES)
-    return retrieval.fuse(dense, sparse, k=k)
+def asked_vectors(s, d):
+    return embed_column(asked(s, d), "query", term_embedder())
 
 
-@query("hybrid_topk", f"with {_HYBRID} {_RANK % ('fused', 5)}")
+def unfiltered(q):
+    return q.withColumn("filters", F.lit(None).cast("map<string,string>"))
+
+
+def found(s, d, name: str, q, **more):
+    return retrieval.search("openai", name, q, collection(s, d), "chunk_id", chunk_index(s, d), chunk_vectors(s, d), **more).select("query_id", "key", "score", "rank")
+
+
+@query("hybrid_topk", f"with {_BM25}, {_VECTORS}, {_fused('dense', 'bm25')} {_RANK % ('fused', 5)}")
 def _(s, d):
-    return hybrid(s, d, 5).select("query_id", "key", "score", "rank")
+    return found(s, d, "hybrid", unfiltered(asked_vectors(s, d)))
 
 
-@query("rerank_topk", f"""with {_HYBRID}, cand as ({_RANK % ('fused', 50)}),
+@query("hybrid_filtered", f"with {_BM25}, {_VECTORS}, {_dense_filtered(50)}, {_PLAIN % 'bm25'}, {_fused('near', 'kept')} {_RANK % ('fused', 5)}")
+def _(s, d):
+    return found(s, d, "hybrid", asked_vectors(s, d))
+
+
+@query("dense_normalised_filter", f"with {_INDEX}, {_VECTORS}, {_dense_filtered(5)} {_RANK % ('near', 5)}")
+def _(s, d):
+    return found(s, d, "similarity", asked_vectors(s, d))
+
+
+@query("mmr_filtered")
+def _(s, d):
+    return found(s, d, "mmr", asked_vectors(s, d))
+
+
+@query("rerank_topk", f"""with {_BM25}, {_VECTORS}, {_fused('dense', 'bm25')}, cand as ({_RANK % ('fused', 50)}),
 qt as (select query_id, list_distinct({_TOKENS % 'query'}) as q from asked), ct as (select chunk_id, {_TOKENS % 'text'} as w from once),
 again as (select c.query_id, c.key, round(len(list_intersect(q, w)) / len(q)::double, 6) as score from cand c join qt using (query_id) join ct on ct.chunk_id = c.key) {_RANK % ('again', 5)}""")
 def _(s, d):
-    return retrieval.rerank(hybrid(s, d, retrieval.CANDIDATES), asked(s, d), chunks_once(s, d), "chunk_id", "text").select("query_id", "key", "score", "rank")
+    return found(s, d, "hybrid", unfiltered(asked_vectors(s, d)), use_rerank=True)
 
 
 @query("context_blocks", f"""with {_BM25}, top as ({_RANK % ('bm25', 5)})
 select query_id, string_agg('[' || rank || '] title=' || coalesce(metadata['title'], '제목 없음') || ' agency=' || coalesce(metadata['agency'], '기관 없음') || ' source=' || coalesce(metadata['file_name'], '출처 없음') || ' score=' || score || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by rank) as context
 from top join once on once.chunk_id = top.key group by query_id""")
 def _(s, d):
-    docs = chunks_once(s, d)
-    return retrieval.context_blocks(retrieval.top_k(retrieval.bm25_scores(asked(s, d), docs, "chunk_id", "text"), 5), docs, "chunk_id")
+    top = retrieval.top_k(retrieval.bm25(asked(s, d), chunk_index(s, d)), 5)
+    return retrieval.context_blocks(top, collection(s, d), "chunk_id")
 
 
 def vector_sides(s, d):
@@ -354,7 +421,19 @@ def _(s, d):
     return retrieval.top_k(kept.select("query_id", "key", "score"), 5)
 
 
-@query("mmr_topk")
+def _mmr_sql(k: int) -> str:
+    """SQL of k greedy choices, one after the other."""
+    parts = [f"""{_DENSE}, pool as (select query_id, key, row_number() over (partition by query_id order by score desc, key) as r from dense),
+p as (select pool.query_id, pool.key, r, v.embedding::double[] as v, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as near from pool join embeddings v on v.vec_id = pool.key join embeddings q on q.vec_id = pool.query_id where r <= 100),
+c1 as (select query_id, key, v, 1 as rank from p where r = 1)"""]
+    for i in range(2, k + 1):
+        parts.append(f"""m{i} as (select p.query_id, p.key, any_value(p.v) as v, any_value(p.r) as r, round(0.7 * any_value(near) - (1 - 0.7) * max(list_cosine_similarity(p.v, c.v)), 12) as g from p join c{i - 1} c on c.query_id = p.query_id
+  where not exists (select 1 from c{i - 1} x where x.query_id = p.query_id and x.key = p.key) group by p.query_id, p.key),
+c{i} as (select * from c{i - 1} union all select query_id, key, v, {i} from (select *, row_number() over (partition by query_id order by g desc, r) as o from m{i}) where o = 1)""")
+    return f"with {', '.join(parts)} select query_id, key, rank::int as rank, 0.0::double as score from c{k}"
+
+
+@query("mmr_topk", _mmr_sql(5))
 def _(s, d):
     q, v = vector_sides(s, d)
     return retrieval.mmr(retrieval.dense_scores(q, v, retrieval.FETCH_K), q, v).withColumn("score", F.lit(0.0))

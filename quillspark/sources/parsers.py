@@ -91,6 +91,31 @@ def hash_embedder(size: int = 64) -> Embedder:
     return embed
 
 
+def term_embedder(size: int = 64) -> Embedder:
+    """A stand-in for a model: term counts hashed to the whole-number places of a vector, some of them negative."""
+    import re
+
+    place: dict[str, tuple[int, int]] = {}
+
+    def of(term: str) -> tuple[int, int]:
+        if term not in place:
+            if len(place) > 1_000_000:
+                place.clear()
+            h = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+            place[term] = h % size, 1 if h >> 31 else -1
+        return place[term]
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), size), np.float32)
+        for i, t in enumerate(texts):
+            for w in re.findall("[0-9A-Za-z가-힣]+", t or ""):
+                d, sign = of(w.lower())
+                out[i, d] += sign
+        return out
+
+    return embed
+
+
 def embed_column(df: DataFrame, text: str = "text", embedder: Embedder | None = None, out: str = "vector") -> DataFrame:
     """df with the vectors of a text column, batch by batch."""
     model = embedder or hash_embedder()

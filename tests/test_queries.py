@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillspark.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -28,10 +29,10 @@ def plain(v):
     return v if v is None or isinstance(v, (str, int, bool)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, db, name):
-    df = entry.queries()[name](spark, FOLDER)
-    cur = db.execute(entry.oracle_sql()[name])
+    df = catalog.queries()[name](spark, FOLDER)
+    cur = db.execute(catalog.oracle_sql()[name])
     names = [x[0] for x in cur.description]
     cols = sorted(df.columns)
     assert cols == sorted(names)
@@ -39,9 +40,9 @@ def test_against_sql(spark, db, name):
     assert sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["calculations", "clean_report", "table_chunks", "image_chunks", "section_chunks", "image_context", "table_roundtrip", "mmr_topk"])
+@pytest.mark.parametrize("name", ["calculations", "clean_report", "table_chunks", "image_chunks", "section_chunks", "image_context", "table_roundtrip", "mmr_filtered"])
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, FOLDER).count() > 0
+    assert catalog.queries()[name](spark, FOLDER).count() > 0
 
 
 def test_entry(spark):
