@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import discard, materialize
+
 
 def canonical(m: Column) -> Column:
     """A map in a form that can be compared: its entries sorted by key, as JSON."""
@@ -33,46 +35,123 @@ def needs_rebuild(old: dict | None, new: dict, keys: tuple[str, ...] = ("embeddi
     return bool(old) and any(old.get(k) and old.get(k) != new.get(k) for k in keys)
 
 
-def snapshot(df: DataFrame, root: str, pointer: str = "CURRENT") -> str:
-    """Write df as a new version below root and point to it last; a reader sees the old or the new one.
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the pointers below root, in order."""
+    fs, path = _fs(spark, root)
+    if not fs.exists(path(root)):
+        return []
+    names = [str(x.getPath().getName()) for x in fs.listStatus(path(root))]
+    return sorted(int(n[8:]) for n in names if n.startswith("CURRENT-") and n[8:].isdigit())
+
+
+def snapshot(df: DataFrame, root: str, parts: list[str] = ()) -> str:
+    """Write df as a new version below root and add a pointer to it; returns the version's path.
 
-    Returns the version's path. A failed write leaves the pointer as it was.
+    The pointer has the next number and is renamed into place as a whole, and no pointer is deleted before a
+    newer one stands: a reader sees the old or the new version at any time, and a failed write or a crash
+    anywhere leaves the old one. Two writers that take the same number: one of them fails. `parts` are the paths
+    of versions that this one continues.
     """
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    spark, root = df.sparkSession, root.rstrip("/")
+    path = f"{root}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, temp = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{x}") for x in (pointer, f".{pointer}-{uuid.uuid4().hex}"))
-    fs = target.getFileSystem(conf)
-    out = fs.create(temp, True)
-    out.write(bytearray(path, "utf-8"))
+    fs, hpath = _fs(spark, root)
+    known = _pointers(spark, root)
+    target, temp = hpath(f"{root}/CURRENT-{(known or [0])[-1] + 1}"), hpath(f"{root}/.CURRENT-{uuid.uuid4().hex}")
+    out = fs.create(temp, False)
+    out.write(bytearray("\n".join([*parts, path]), "utf-8"))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(temp, target):
-        raise OSError(f"could not replace {target}")
+    if fs.exists(target) or not fs.rename(temp, target):
+        fs.delete(temp, False)
+        raise OSError(f"could not set {target}")
+    for n in known[:-1]:  # the one before stays for readers that have just found it
+        fs.delete(hpath(f"{root}/CURRENT-{n}"), False)
     return path
 
 
-def current(spark: SparkSession, root: str, pointer: str = "CURRENT") -> DataFrame | None:
-    """The version that root points to; None without one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{pointer}")
-    if not p.getFileSystem(conf).exists(p):
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """The paths that the newest pointer below root names, in order; none without one."""
+    known = _pointers(spark, root)
+    if not known:
+        return []
+    return [x for x in spark.sparkContext.wholeTextFiles(f"{root.rstrip('/')}/CURRENT-{known[-1]}").values().first().split("\n") if x.strip()]
+
+
+def current(spark: SparkSession, root: str, key: str = "chunk_id") -> DataFrame | None:
+    """The state that root points to; None without one. Of a key in several parts, the newest part counts."""
+    paths = versions(spark, root)
+    if not paths:
         return None
-    return spark.read.parquet(spark.sparkContext.wholeTextFiles(str(p.toString())).values().first().strip())
+    if len(paths) == 1:
+        return spark.read.parquet(paths[0])
+    out = None
+    for i, p in enumerate(paths):
+        part = spark.read.parquet(p).withColumn("__part", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    newest = out.groupBy(key).agg(F.max("__part").alias("__part"))
+    return out.join(newest, [key, "__part"], "left_semi").drop("__part")
+
+
+def save_state(spark: SparkSession, root: str, parameters: dict) -> None:
+    """Keep the parameters that the index below root is built with."""
+    snapshot(spark.createDataFrame([(k, None if v is None else str(v)) for k, v in sorted(parameters.items())], "name string, value string").coalesce(1), f"{root.rstrip('/')}/state")
 
 
-def sync(spark: SparkSession, root: str, new: DataFrame, embed, key: str = "chunk_id") -> dict[str, int]:
+def load_state(spark: SparkSession, root: str) -> dict | None:
+    """The parameters that the index below root was built with; None if none were kept."""
+    paths = versions(spark, f"{root.rstrip('/')}/state")
+    return {r.name: r.value for r in spark.read.parquet(paths[-1]).collect()} if paths else None  # a row per parameter
+
+
+def drop(spark: SparkSession, root: str) -> None:
+    """Remove the index below root with its state."""
+    fs, path = _fs(spark, root)
+    fs.delete(path(root), True)
+
+
+def sync(spark: SparkSession, root: str, new: DataFrame, embed, key: str = "chunk_id", parameters: dict | None = None) -> dict[str, int]:
     """Bring the index below root in step with the chunks `new`: rows unchanged keep their vector, added and
     modified ones get one from `embed` (DataFrame -> DataFrame with the column vector), deleted ones go.
-    Returns the counters."""
-    old = current(spark, root)
+    Returns the counters. With parameters, an index that was built with others is dropped and built anew
+    (see `needs_rebuild`), and they are kept."""
+    if parameters is not None and needs_rebuild(load_state(spark, root), {k: None if v is None else str(v) for k, v in parameters.items()}):
+        drop(spark, root)
+    old = current(spark, root, key)
     if old is None:
         snapshot(embed(new), root)
-        return {"n_added": new.count(), "n_modified": 0, "n_deleted": 0, "n_unchanged": 0}
-    changes = diff(old, new, key)
-    same = old.join(changes.where("change = 'unchanged'").select(key), key, "left_semi")
-    fresh = embed(new.join(changes.where("change in ('added', 'modified')").select(key), key, "left_semi"))
+        counts = {"n_added": current(spark, root, key).count(), "n_modified": 0, "n_deleted": 0, "n_unchanged": 0}
+    else:
+        changes = materialize(diff(old, new, key), "changes")
+        same = old.join(changes.where("change = 'unchanged'").select(key), key, "left_semi")
+        fresh = embed(new.join(changes.where("change in ('added', 'modified')").select(key), key, "left_semi"))
+        counts = diff_counts(changes).first().asDict()
+        snapshot(same.unionByName(fresh), root)
+        discard(changes)
+    if parameters is not None:
+        save_state(spark, root, parameters)
+    return counts
+
+
+def upsert(spark: SparkSession, root: str, rows: DataFrame, embed, key: str = "chunk_id", most_parts: int = 16) -> dict[str, int]:
+    """Add or replace the rows in the index below root; others stay. Only rows that are new or differ are
+    embedded and written, as a part of their own; after `most_parts` parts they are written as one again."""
+    old = current(spark, root, key)
+    if old is None:
+        return sync(spark, root, rows, embed, key)
+    near = old.join(rows.select(key), key, "left_semi")
+    changes = materialize(diff(near, rows, key), "changes")
     counts = diff_counts(changes).first().asDict()
-    snapshot(same.unionByName(fresh), root)
+    fresh = embed(rows.join(changes.where("change in ('added', 'modified')").select(key), key, "left_semi"))
+    parts = versions(spark, root)
+    if len(parts) < most_parts:
+        snapshot(fresh.select(*old.columns), root, parts)
+    else:
+        snapshot(old.join(changes.where("change in ('added', 'modified')").select(key), key, "left_anti").unionByName(fresh), root)
+    discard(changes)
     return counts

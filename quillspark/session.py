@@ -44,8 +44,8 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; only where that is
-    unset (as in tests) a temporary folder of this machine is set instead."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only where that is unset and everything
+    runs on this machine (as in tests) is a temporary folder set instead; on a cluster that is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if path:
@@ -53,6 +53,8 @@ def work_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -71,14 +73,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table below the shared folder and read it back.
 
     Cuts the lineage with a file that survives the loss of executors, keeps column pruning,
-    and frees the shuffle files of the finished job. The table is removed when Python ends.
+    and frees the shuffle files of the finished job. The table is removed by `discard`, or when Python ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
     with_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"},
               lambda: df.write.option("compression", "zstd").parquet(path))
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillspark_path = path
+    return out
+
+
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that `materialize` wrote for df, once nothing reads it any more."""
+    path = getattr(df, "_quillspark_path", None)
+    if path in _WRITTEN:
+        _remove(_WRITTEN.pop(path), path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        _remove(spark, path)
 
 
 def with_conf(spark: SparkSession, settings: dict[str, str], action):

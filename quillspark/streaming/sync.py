@@ -17,14 +17,18 @@ def upsert(spark: SparkSession, root: str, batch: DataFrame, embed, key: str = "
     """Add or replace the chunks of a batch in the index below root; others stay. Of a key that the batch
     repeats, the row of the greatest text is taken."""
     one = batch.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last("text")))).where("__n = 1").drop("__n")
-    old = index.current(spark, root)
-    if old is None:
-        return index.sync(spark, root, one, embed, key)
-    rest = old.select(*one.columns).join(one.select(key), key, "left_anti")
-    return index.sync(spark, root, rest.unionByName(one), embed, key)
+    return index.upsert(spark, root, one, embed, key)
 
 
 def run(chunks: DataFrame, root: str, embed, checkpoint: str, once: bool = True):
-    """Start the stream: every batch is an upsert and a new version of the index."""
-    w = chunks.writeStream.foreachBatch(lambda df, n: upsert(df.sparkSession, root, df.persist(), embed)).option("checkpointLocation", checkpoint)
+    """Start the stream: every batch is an upsert that writes the batch's changes only."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.persist()  # read for the differences and for the rows
+        try:
+            upsert(df.sparkSession, root, df, embed)
+        finally:
+            df.unpersist()
+
+    w = chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

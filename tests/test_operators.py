@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import chunking, evaluation, images, index, metadata, reports, retrieval
+from quillspark import session
 from quillspark.sources import files, hwp, parsers
 
 
@@ -183,6 +184,79 @@ def test_diff_and_sync(spark, tmp_path):
     assert index.needs_rebuild({"chunk_size": 800}, {"chunk_size": 400}) and not index.needs_rebuild({"chunk_size": None}, {"chunk_size": 400}) and not index.needs_rebuild(None, {})
 
 
+def test_snapshots_always_have_a_pointer(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    one = lambda v: spark.createDataFrame([("a", v)], "chunk_id string, v int")
+    for i in range(4):
+        index.snapshot(one(i), root)
+        assert index.current(spark, root).first().v == i
+        assert len(index._pointers(spark, root)) <= 2
+    with pytest.raises(Exception):
+        index.snapshot(one(9).withColumn("v", F.raise_error(F.lit("no"))), root)
+    assert index.current(spark, root).first().v == 3
+    # a writer that took the same number fails and leaves the other one's state
+    known = index._pointers(spark, root)
+    monkeypatch.setattr(index, "_pointers", lambda *a: known[:-1])
+    with pytest.raises(OSError):
+        index.snapshot(one(7), root)
+    monkeypatch.undo()
+    assert index.current(spark, root).first().v == 3
+
+
+def test_upserts_write_what_differs(spark, tmp_path):
+    root, calls = str(tmp_path / "index"), []
+
+    def embed(df):
+        calls.append(sorted(r.chunk_id for r in df.collect()))
+        return parsers.embed_column(df)
+
+    rows = lambda *x: spark.createDataFrame([(k, "d", t, {}) for k, t in x], files.CHUNK)
+    index.upsert(spark, root, rows(("a", "1"), ("b", "2")), embed)
+    for i in range(4):
+        index.upsert(spark, root, rows(("b", f"new {i}"), ("a", "1")), embed, most_parts=3)
+    assert calls == [["a", "b"]] + [["b"]] * 4 and len(index.versions(spark, root)) <= 3
+    assert {r.chunk_id: r.text for r in index.current(spark, root).collect()} == {"a": "1", "b": "new 3"}
+
+
+def test_parameters_that_change_rebuild(spark, tmp_path):
+    root, calls = str(tmp_path / "index"), []
+
+    def embed(df):
+        calls.append(df.count())
+        return parsers.embed_column(df)
+
+    rows = spark.createDataFrame([("a", "d", "1", {}), ("b", "d", "2", {})], files.CHUNK)
+    for p in ({"embedding_model": "m1", "chunk_size": 800}, {"embedding_model": "m1", "chunk_size": 800}, {"embedding_model": "m2", "chunk_size": 800}):
+        index.sync(spark, root, rows, embed, parameters=p)
+    assert calls == [2, 0, 2] and index.load_state(spark, root) == {"embedding_model": "m2", "chunk_size": "800"}
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def __getattr__(self, name):
+            return getattr(spark.sparkContext, name)
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class None_:
+                    getCheckpointDir = staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))
+                return None_
+
+        @staticmethod
+        def getConf():
+            return type("C", (), {"get": staticmethod(lambda k: None)})
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError):
+        session.work_dir(Session())
+
+
 def test_stream_of_chunks(spark, tmp_path):
     from quillspark.streaming import sync
 
