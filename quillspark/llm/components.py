@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     e = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     last = None
     for _ in range(rounds):
-        e = materialize(_small_star(_large_star(e)), "star")
+        before, e = e, materialize(_small_star(_large_star(e)), "star")
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()
