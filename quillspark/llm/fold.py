@@ -33,8 +33,9 @@ INVISIBLE = (
     (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F),
     (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0xE0000, 0xE007F), (0xE0100, 0xE01EF),
 )
-#: Ranges whose compatibility form looks the same: full-width forms, Roman numerals, CJK compatibility ideographs.
-SAME_LOOK = ((0x2160, 0x217F), (0x2F00, 0x2FD5), (0xF900, 0xFAFF), (0xFF01, 0xFF5E), (0x2F800, 0x2FA1F))
+#: Ranges whose compatibility form looks the same: full-width forms, Roman numerals, CJK compatibility ideographs,
+#: ligatures, letters and digits of mathematical text.
+SAME_LOOK = ((0x2160, 0x217F), (0x2F00, 0x2FD5), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0x2F800, 0x2FA1F))
 
 
 def _safe_table() -> dict[int, str | None]:

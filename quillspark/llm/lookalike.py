@@ -63,7 +63,7 @@ def apply_repairs(text: str, known: set[str]) -> str:
 
 
 def unified(values: DataFrame) -> DataFrame:
-    """(field_name, id, stored_key, unified_key, unified) of (field_name, id, value).
+    """(field_name, id, stored_key, unified_key, unified) of (field_name, id, value), the keys of 128 bits.
 
     unified is null where it equals the stored value. Null values and ids are left out; an empty
     value stays empty. Rows that repeat are returned once.
@@ -89,25 +89,25 @@ def unified(values: DataFrame) -> DataFrame:
                 if len(seen) > 1_000_000:  # bounded memory; a word sent twice is no error
                     seen.clear()
             cols = list(zip(*out)) or [()] * 7
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "field_name", "id", "stored_key", "unified_key", "unified", "wanted"])
 
     from ..session import materialize
 
     src = values.where("value is not null and id is not null").select("field_name", "id", "value")
-    rows = materialize(src.mapInArrow(run, "kind int, field_name string, id string, stored_key long, unified_key long, unified string, wanted array<string>"), "unified")
+    rows = materialize(src.mapInArrow(run, "kind int, field_name string, id string, stored_key binary, unified_key binary, unified string, wanted array<string>"), "unified")
 
     def repair(it):
         for batch in it:
             out = [apply_repairs(t, set(k or ())) for t, k in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([text_key(t) for t in out], pa.int64()), pa.array(out, pa.string())], names=["field_name", "id", "stored_key", "unified_key", "unified"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([text_key(t) for t in out], pa.binary()), pa.array(out, pa.string())], names=["field_name", "id", "stored_key", "unified_key", "unified"])
 
     foreign = rows.where("kind = 1").select("field_name", "id", "stored_key", "unified", "wanted").distinct()
     wanted = foreign.select("field_name", "id", "stored_key", F.explode("wanted").alias("word"))
     known = rows.where("kind = 2").select(F.col("unified").alias("word")).join(wanted.select("word").distinct(), "word", "left_semi").distinct()
     # a row's own words only: bounded by the row
     mine = wanted.join(known, "word").groupBy("field_name", "id", "stored_key").agg(F.collect_set("word").alias("known"))
-    fixed = foreign.drop("wanted").join(mine, ["field_name", "id", "stored_key"], "left").select("field_name", "id", "stored_key", "unified", "known").mapInArrow(repair, "field_name string, id string, stored_key long, unified_key long, unified string")
+    fixed = foreign.drop("wanted").join(mine, ["field_name", "id", "stored_key"], "left").select("field_name", "id", "stored_key", "unified", "known").mapInArrow(repair, "field_name string, id string, stored_key binary, unified_key binary, unified string")
     return rows.where("kind = 0").select("field_name", "id", "stored_key", "unified_key", "unified").dropDuplicates(["field_name", "id", "stored_key"]).union(fixed)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import fold, leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, scans, split, toxicity
+from . import leakage, lookalike, mixture, names, near_dup, qa_pairs, repetition, scans, split, toxicity
 
 
 def queries():
@@ -41,14 +41,25 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Fixed values, apart from those of `fold` so that either can find an error in the other: characters that look like
+# the one below them.
+_SEEN = "АВЕЅІЈКМНОРСТУХҮԚԜаеорсухѕіјһԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ‐‑‒–−﹣－‧∙⋅・ㆍ･"
+_READ = "ABESIJKMHOPCTYXYQWaeopcyxsijhdqwlABEZHIKMNOPTYXovcj-------······"
+_SHOWS_NOTHING = (
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064"
+    "\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0\ufff9\ufffa\ufffb" + "".join(map(chr, range(0xFE00, 0xFE10)))
+)
+_NUMERALS = "Ⅰ I Ⅱ II Ⅲ III Ⅳ IV Ⅴ V Ⅵ VI Ⅶ VII Ⅷ VIII Ⅸ IX Ⅹ X Ⅺ XI Ⅻ XII ⅰ i ⅱ ii ⅲ iii ⅳ iv ⅴ v ⅵ vi ⅶ vii ⅷ viii ⅸ ix ⅹ x".split()
+_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def _unified(value: str) -> str:
-    """SQL for the one form of a text: the replacements of fold.FULL, then composition."""
-    single = {chr(k): v for k, v in fold.FULL.items() if v is not None and len(v) == 1}
-    gone = "".join(chr(k) for k, v in fold.FULL.items() if v is None)
-    for k, v in sorted(fold.FULL.items()):
-        if v is not None and len(v) > 1:
-            value = f"replace({value}, {_quoted(chr(k))}, {_quoted(v)})"
-    return f"nfc_normalize(translate({value}, {_quoted(''.join(single) + gone)}, {_quoted(''.join(single.values()))}))"
+    """SQL for the one form of a text: full-width forms, blanks and look-alikes replaced, the rest composed."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in _SEEN)
+    for a, b in zip(_NUMERALS[::2], _NUMERALS[1::2]):
+        value = f"replace({value}, '{a}', '{b}')"
+    seen, read = wide + _BLANKS + _SEEN, "".join(chr(ord(c) - 0xFEE0) for c in wide) + " " * len(_BLANKS) + _READ
+    return f"nfc_normalize(translate({value}, {_quoted(seen + _SHOWS_NOTHING)}, {_quoted(read)}))"
 
 
 def oracle_sql():
@@ -64,6 +75,21 @@ h as (select record_id, l, e, len(l) > 1 and regexp_matches(trim(l[2]), '^\|?\s*
 r as (select record_id, length(l[1]) + e + case when sep then length(l[2]) + e else 0 end as head, list_filter(l[case when sep then 3 else 2 end:], lambda x: trim(x) <> '') as rows, e from h)
 select 'text' as item_kind, chunk_id as item_id, case when max(length({strip('u')})) > 800 then 'forced' else 'natural' end as cut_kind from u group by chunk_id
 union all select 'table', record_id::varchar, case when coalesce(list_max(list_transform(rows, lambda x: head + length(x))), head - e) > 800 then 'forced' else 'natural' end from r""",
+        "p2_found": rf"""
+with v as (select distinct chunk_id, text from sample_chunks where chunk_id is not null and regexp_matches(text, '{_SPACE.replace("[", "[^", 1)}')),
+f as (select chunk_id, regexp_replace(lower({_unified('text')}), '{_SPACE}+', ' ', 'g') as s from v),
+t as (select s, row_number() over (order by s) as i from (select distinct s from f)),
+o as (select distinct i, substring(s, k, 5) as gram from (select i, s, unnest(generate_series(1, length(s) - 4)) as k from t where length(s) >= 5)),
+d as (select gram, row_number() over (order by count(*), gram) as g from o group by gram),
+e as (select i, g from o join d using (gram)),
+n as (select i, count(*) as n from e group by i),
+r as (select i, g, n, row_number() over (partition by i order by g) as pos from e join n using (i)),
+c as (select distinct a.i as i, b.i as j, a.n as x, b.n as y from r a join r b on a.g = b.g and a.i < b.i and a.n >= 0.6 * b.n and b.n >= 0.6 * a.n
+  where a.pos <= a.n - ceil(0.6 * a.n - 1e-9) + 1 and b.pos <= b.n - ceil(0.6 * b.n - 1e-9) + 1 and 1 + least(a.n - a.pos, b.n - b.pos) + least(a.pos, b.pos) >= 0.375 * (a.n + b.n)),
+l as (select c.i, c.j from c join e a on a.i = c.i join e b on b.i = c.j and b.g = a.g group by c.i, c.j, x, y having count(*) >= 0.6 * (x + y - count(*)) - 1e-9),
+m as (select chunk_id, i from f join t using (s)),
+k as (select i, j from l union all select j, i from l union all select i, i from t)
+select distinct a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b from m a join k on k.i = a.i join m b on b.i = k.j where a.chunk_id < b.chunk_id""",
         "p3_found": rf"""
 with s as (select chunk_id, {_LETTERS % _unified('text')} as s from (select distinct chunk_id, text from sample_chunks where text is not null)),
 p as (select chunk_id, length(s) as n, s, unnest(generate_series(1, length(s) - 11)) as i from s where length(s) >= 12),
