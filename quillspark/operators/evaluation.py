@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import squeeze
 
@@ -89,6 +89,20 @@ def pair_messages(messages: DataFrame) -> DataFrame:
     return m.select("conversation_id", F.row_number().over(w).alias("turn_no"), F.col("text").alias("question"), "answer")
 
 
+# The questions that a new index is tried with.
+SMOKE_QUESTIONS = (
+    "AI 학습지원 플랫폼의 주요 기능 요구사항을 알려줘",
+    "사업 예산과 수행 기간은 어떻게 돼?",
+    "제안서는 언제까지 어떤 방식으로 제출해야 해?",
+    "문서에 블록체인 기능 요구사항이 있어?",
+)
+
+
+def smoke_questions(spark: SparkSession) -> DataFrame:
+    """(query_id, query) of SMOKE_QUESTIONS."""
+    return spark.createDataFrame([(f"smoke_{i}", q) for i, q in enumerate(SMOKE_QUESTIONS, 1)], "query_id string, query string")
+
+
 def lookup_question(asked: DataFrame, known: DataFrame) -> DataFrame:
     """asked (ask_id, question) with the known question_id of equal text, white space aside; the least of several."""
     k = known.groupBy(squeeze("question").alias("k")).agg(F.min("question_id").alias("question_id"))

@@ -66,4 +66,4 @@ def has_grid(gray: np.ndarray, dark: int = 128, share: float = 0.5, lines: int =
     if gray.size == 0:
         return False
     black = gray < dark
-    return all(len(line_runs(black.mean(axis=a) >= share, least)) >= lines for a in (0, 1))
+    return all(len(line_runs(black.mean(axis=a) > share, least)) >= lines for a in (0, 1))

@@ -59,6 +59,16 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.union(right.select(key).distinct().join(left.select(key).distinct(), key, "left_anti").withColumn("side", F.lit("right")))
 
 
+# Columns of the metadata table and the keys that chunks have them under.
+CHUNK_KEYS = (("title", "title"), ("title", "project_name"), ("agency", "agency"), ("file_name", "file_name"), ("document_type", "document_type"), ("notice_number", "notice_number"), ("summary", "summary"))
+
+
+def chunk_metadata(keys: tuple[tuple[str, str], ...] = CHUNK_KEYS) -> Column:
+    """A map of columns under their keys, from (column, key) in that order; nulls are omitted."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for c, k in keys]), lambda x: x["value"].isNotNull())
+    return F.map_from_entries(pairs)
+
+
 def merge_metadata(chunks: DataFrame, meta: DataFrame, fields: tuple[str, ...], strict: bool = True) -> DataFrame:
     """Chunks with their metadata map overwritten by the fields of their document. Null fields are omitted
     and keep what the chunk has. With strict, a chunk without document raises before anything is returned."""

@@ -141,6 +141,17 @@ def _(s, d):
     return chunks_once(s, d).where("text is not null").select("chunk_id", F.array_join(fx.requirement_ids("text"), ";").alias("ids"), fx.digit_count("text").alias("n_digits"))
 
 
+@query("clean_totals", f"""
+with s as (select regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^({_BLANK})[{_BUL}]', '\\1- ', 'g'), '[{_BUL}]', ' ', 'g'), '[{_SPC}]', ' ', 'g'), '{_REM}', '', 'g') as a,
+  len(regexp_extract_all(text, '[{_BUL}]')) as n_bullets, len(regexp_extract_all(text, '{_REM}')) as n_removed, len(regexp_extract_all(text, '[{_SPC}]')) as n_spaces, chunk_id from {_CHUNKS} where text is not null),
+l as (select chunk_id, string_split(a, chr(10)) as l from s), i as (select chunk_id, l, unnest(generate_series(1, len(l))) as i from l),
+r as (select chunk_id, count(*) filter ({_REPEATED}) as n_lines from i group by chunk_id)
+select count(*) as n_chunks, sum(n_bullets)::bigint as n_bullets, sum(n_removed)::bigint as n_removed, sum(n_spaces)::bigint as n_spaces, sum(n_lines)::bigint as n_lines from s join r using (chunk_id)""")
+def _(s, d):
+    c = fx.clean(collection(s, d).where("text is not null"))
+    return c.agg(F.count("*").alias("n_chunks"), *[F.sum(f"clean.{n}").cast("long").alias(n) for n in ("n_bullets", "n_removed", "n_spaces", "n_lines")])
+
+
 @query("clean_report")
 def _(s, d):
     meta = t(s, d, "source_metadata").select("doc_id", F.array_distinct(F.concat(F.filter(F.array("project_name", "notice_number"), lambda x: F.coalesce(F.trim(x) != "", F.lit(False))), F.coalesce(fx.amount_forms("budget"), F.array().cast("array<string>")))).alias("known_values"))
@@ -204,7 +215,11 @@ def _(s, d):
     return chunking.contract_violations(chunks_once(s, d))
 
 
-@query("image_context")
+@query("image_context", """
+with c as (select record_id, combined_context as stored, concat_ws(chr(10) || chr(10), '이미지 OCR 텍스트:' || chr(10) || coalesce(ocr_text, ''),
+  case when len(spatial_layout.layout_rows) > 0 then '공간 배치(화살표 흐름 아님):' || chr(10) || array_to_string(list_transform(spatial_layout.layout_rows, lambda x: '행 ' || x.row_index || ': ' || array_to_string(list_transform(x.items, lambda y: y.text), ' | ')), chr(10)) end,
+  case when coalesce(vlm_text, '') <> '' then '검토 필요 VLM 개요:' || chr(10) || vlm_text end) as built from image_records where combined_context is not null)
+select record_id, sha256(built) as context_sha256, built = stored as as_stored from c""")
 def _(s, d):
     im = t(s, d, "image_records")
     built = ft.combined_context("ocr_text", "spatial_layout.layout_rows", "vlm_text")
@@ -643,15 +658,36 @@ def _(s, d):
     return m
 
 
+_SEPARATOR = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
+
+
 @query("table_in_body", f"""with b as (select doc_id, chunk_id, text from {_CHUNKS} where coalesce(metadata['chunk_source'], 'body') = 'body' and text is not null),
-p as (select distinct on (record_id) record_id, doc_id, trim(regexp_extract(table_markdown, '\\|([^|\\n]*)\\|', 1)) as probe from table_records where table_markdown is not null)
-select record_id, count(chunk_id) as n_chunks from (select p.record_id, b.chunk_id from p join b on b.doc_id = p.doc_id and contains(b.text, p.probe) where length(p.probe) >= 2) group by record_id""")
-def _(s, d):
-    b = chunks_once(s, d).where((F.coalesce(F.col("metadata")["chunk_source"], F.lit("body")) == "body") & F.col("text").isNotNull()).select("doc_id", "chunk_id", "text")
-    p = tables_once(s, d).where("table_markdown is not null").select("record_id", "doc_id", F.trim(F.regexp_extract("table_markdown", r"\|([^|\n]*)\|", 1)).alias("probe")).where(F.length("probe") >= 2)
-    # one probe per document and text is enough: equal probes share the scan of the document's chunks
-    hit = p.select("doc_id", "probe").distinct().join(b, "doc_id").where(F.contains("text", "probe")).groupBy("doc_id", "probe").agg(F.count("*").alias("n_chunks"))
-    return p.join(hit, ["doc_id", "probe"]).select("record_id", "n_chunks")
+l as (select distinct record_id, doc_id, string_split_regex(table_markdown, '\\r\\n|\\n|\\r') as l from table_records where table_markdown is not null),
+r as (select record_id, doc_id, case when regexp_matches(coalesce(l[2], ''), '{_SEPARATOR}') then l[3] else l[2] end as r from l),
+p as (select record_id, doc_id, list_filter(list_transform(string_split(trim(r, '|'), '|'), lambda x: trim(x)), lambda x: length(x) >= 8)[1] as probe from r)
+select record_id, probe, count(chunk_id) as n_chunks from p join b on b.doc_id = p.doc_id and contains(b.text, p.probe) group by record_id, probe""")
+def _(s, d):
+    b = collection(s, d).where((F.coalesce(F.col("metadata")["chunk_source"], F.lit("body")) == "body") & F.col("text").isNotNull()).select("doc_id", "chunk_id", "text")
+    return reports.tables_in_body(tables_once(s, d), b)
+
+
+@query("table_lookup", """with w as (select distinct doc_id, metadata['table_number']::int as table_number, chunk_id from sample_chunks where metadata['table_number'] is not null),
+r as (select distinct record_id, doc_id, table_number, status from table_records)
+select w.chunk_id, w.doc_id, w.table_number, r.record_id, r.status from w left join r on r.doc_id = w.doc_id and r.table_number = w.table_number""")
+def _(s, d):
+    wanted = collection(s, d).select("chunk_id", "doc_id", F.col("metadata")["table_number"].cast("int").alias("table_number")).where("table_number is not null")
+    return wanted.join(tables_once(s, d).select("doc_id", "table_number", "record_id", "status"), ["doc_id", "table_number"], "left").select("chunk_id", "doc_id", "table_number", "record_id", "status")
+
+
+@query("metadata_projection", """select doc_id, array_to_string(list_filter([%s], lambda x: x is not null), ';') as entries from source_metadata""" % ", ".join(f"'{k}=' || {c}" for c, k in metadata.CHUNK_KEYS))
+def _(s, d):
+    m = t(s, d, "source_metadata").select("doc_id", metadata.chunk_metadata().alias("m"))
+    return m.select("doc_id", F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("entries"))
+
+
+@query("smoke_topk", f"""with {_BM25.replace(_ASKED, "(select * from (values %s) as v(query_id, query))" % ", ".join(f"('smoke_{i}', '{q}')" for i, q in enumerate(evaluation.SMOKE_QUESTIONS, 1)))} {_RANK % ('bm25', 3)}""")
+def _(s, d):
+    return retrieval.top_k(retrieval.bm25(evaluation.smoke_questions(s), chunk_index(s, d)), 3).select("query_id", "key", "score", "rank")
 
 
 @query("expected_sets", """select question_id, array_to_string(list_sort(list_intersect(e, g)), ';') as found, array_to_string(list_sort(list_filter(e, lambda x: not list_contains(g, x))), ';') as missing

@@ -169,9 +169,16 @@ def find_picture(payload: bytes) -> bytes | None:
     return None
 
 
-def parse_streams(df: DataFrame) -> DataFrame:
+def body_text(parts: list[str | Table], exclude_tables: bool = False) -> str:
+    """Paragraphs and the cells of tables, line by line; without those of content tables if asked, while the text
+    of layout tables stays where it stands."""
+    keep = (p for p in parts if isinstance(p, str) or not (exclude_tables and is_content(p)))
+    return "\n".join(p if isinstance(p, str) else "\n".join(x for c in p.cells for x in c.text) for p in keep)
+
+
+def parse_streams(df: DataFrame, exclude_tables: bool = False) -> DataFrame:
     """(key, text, sections, tables, error) of (key, streams array<binary>); a document that can't be read
-    gives its error and does not end the task."""
+    gives its error and does not end the task. exclude_tables leaves content tables out of the text."""
     table_type = pa.struct([("rows", pa.int32()), ("columns", pa.int32()), ("depth", pa.int32()), ("density", pa.float64()), ("cells", pa.list_(pa.struct([("row", pa.int32()), ("column", pa.int32()), ("text", pa.list_(pa.string()))])))])
     section_type = pa.struct([("title", pa.string()), ("text", pa.string())])
 
@@ -182,8 +189,7 @@ def parse_streams(df: DataFrame) -> DataFrame:
                 try:
                     parts = [p for s in streams or [] for p in content(s)]
                     tables = [{"rows": t.rows, "columns": t.columns, "depth": t.depth, "density": t.density(), "cells": [{"row": c.row, "column": c.column, "text": c.text} for c in t.cells]} for t in parts if isinstance(t, Table)]
-                    text = "\n".join(p if isinstance(p, str) else "\n".join(x for c in p.cells for x in c.text) for p in parts)
-                    rows.append((key, text, [{"title": a, "text": x} for a, x in sections(parts)], tables, None))
+                    rows.append((key, body_text(parts, exclude_tables), [{"title": a, "text": x} for a, x in sections(parts)], tables, None))
                 except Exception as e:  # noqa: BLE001 - each document fails for itself
                     rows.append((key, None, None, None, f"{type(e).__name__}: {e}"))
             cols = list(zip(*rows)) or [()] * 5

@@ -15,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+# Fixed value: the answer where the search has found nothing.
+NOTHING_FOUND = "관련 문서 내용을 찾지 못했습니다. 원본 문서나 검색 조건을 다시 확인해 주세요."
+
+
 class DocumentParser(Protocol):
     """Bytes of a file to its text."""
 
@@ -130,7 +134,7 @@ def embed_column(df: DataFrame, text: str = "text", embedder: Embedder | None =
     return df.mapInArrow(run, schema)
 
 
-def answer(df: DataFrame, model: AnswerModel, prompt: str = "prompt", context: str = "context", nothing: str = "제공된 문서에서 확인할 수 없습니다.") -> DataFrame:
+def answer(df: DataFrame, model: AnswerModel, prompt: str = "prompt", context: str = "context", nothing: str = NOTHING_FOUND) -> DataFrame:
     """df with `answer`: the model's, or the fixed answer where the context is blank, without a call."""
     names = df.columns
     schema = df.withColumn("answer", F.lit("")).schema
@@ -145,6 +149,36 @@ def answer(df: DataFrame, model: AnswerModel, prompt: str = "prompt", context: s
     return df.mapInArrow(run, schema)
 
 
+class ToolModel(Protocol):
+    """A conversation to (text, calls): calls are (tool, argument); without any, the text is the answer."""
+
+    def __call__(self, messages: list[str]) -> tuple[str, list[tuple[str, str]]]: ...
+
+
+def answer_with_tools(df: DataFrame, model: ToolModel, tools: dict, prompt: str = "prompt", context: str = "context", nothing: str = NOTHING_FOUND) -> DataFrame:
+    """df with `answer`: the model may ask for tools once; their results go back to it, and what it then says
+    is the answer. An unknown tool gives an error text as its result. Blank contexts give the fixed answer
+    without a call."""
+    names = df.columns
+    schema = df.withColumn("answer", F.lit("")).schema
+
+    def one(p: str, c: str | None) -> str:
+        if not c or not c.strip():
+            return nothing
+        text, calls = model([p])
+        if not calls:
+            return text
+        results = [str(tools[t](x)) if t in tools else f"오류: 알 수 없는 도구 호출 - {t}" for t, x in calls]
+        return model([p, text, *results])[0]
+
+    def run(it):
+        for b in it:
+            out = [one(p, c) for p, c in zip(b.column(names.index(prompt)).to_pylist(), b.column(names.index(context)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, "answer"])
+
+    return df.mapInArrow(run, schema)
+
+
 def condense(df: DataFrame, model: AnswerModel, question: str = "question", history: str = "history") -> DataFrame:
     """df with `standalone`: the question as it is without history (array<struct<question,answer>>), else as the
     model rewrites it with the turns before it."""
