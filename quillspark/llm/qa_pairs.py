@@ -174,7 +174,8 @@ def defects(results: DataFrame) -> DataFrame:
     relied upon, since it is null or wrong at times.
     """
     base = results.where("result_id is not null").select("result_id", "question", F.coalesce("final_answer", F.lit("")).alias("answer_text")).dropDuplicates(["result_id"])
-    known = base.join(prefix_flags(base), "answer_text", "left").join(spikes(base).select("n_chars", F.lit(True).alias("spike")), F.length("answer_text") == F.col("n_chars"), "left")
+    # only answers that another one continues: a popular answer meets few rows, whatever the share of all rows it has
+    known = base.join(prefix_flags(base).where("shortened"), "answer_text", "left").join(spikes(base).select("n_chars", F.lit(True).alias("spike")), F.length("answer_text") == F.col("n_chars"), "left")
 
     def run(it):
         for batch in it:
