@@ -641,10 +641,11 @@ def _(s, d):
     return t(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("notice_number").alias("n_notices"), F.sum("n_chars").alias("n_chars"), F.max_by("doc_id", F.col("n_chars") * 10000000 - F.col("doc_id")).alias("longest"))
 
 
-@query("variant_deltas", """with m as (select date_trunc('month', answered_at at time zone 'UTC')::date as month, round(avg(response_seconds), 4) as v from (select distinct on (result_id) * from results_openai) where answered_at is not null group by 1)
+@query("variant_deltas", """with m as (select date_trunc('month', answered_at at time zone 'UTC')::date as month, ((20 * sum(round(response_seconds * 1000)::bigint) + count(response_seconds)) // (2 * count(response_seconds))) / 10000.0 as v from (select distinct on (result_id) * from results_openai) where answered_at is not null group by 1)
 select strftime(month, '%Y-%m') as month, v, round(v - lag(v) over (order by month), 6) as delta from m""")
 def _(s, d):
-    m = t(s, d, "results_openai").dropDuplicates(["result_id"]).where("answered_at is not null").groupBy(F.date_format("answered_at", "yyyy-MM").alias("month")).agg(F.round(F.avg("response_seconds"), 4).alias("v"))
+    # means of decimals, so that the result does not hang on the order of the rows
+    m = t(s, d, "results_openai").dropDuplicates(["result_id"]).where("answered_at is not null").groupBy(F.date_format("answered_at", "yyyy-MM").alias("month")).agg(F.round(F.avg(F.col("response_seconds").cast("decimal(18,6)")), 4).cast("double").alias("v"))
     return evaluation.deltas(m, "month", "v")
 
 
