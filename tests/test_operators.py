@@ -434,3 +434,30 @@ def test_condensing_and_merging(spark):
     assert [r[0] for r in m.select(profile.merge_read_texts(F.col("t"), F.col("o"))).collect()] == ["x\n\n[OCR image/table text]\n\na\n\nb", "x", "[OCR image/table text]\n\na"]
     c = profile.call_totals(spark.createDataFrame([("m", 1, 2, 0.5, 3.0), ("m", 1, 2, 0.5, 5.0)], "model string, tokens_in int, tokens_out int, cost double, seconds double"), "model").first()
     assert (c.n_calls, c.tokens_in, c.cost, c.mean_seconds) == (2, 2, 1.0, 4.0)
+
+
+def test_postings_stay_where_they_are(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} term{i} common") for i in range(200)], "id int, t string")
+    scored = retrieval.bm25(spark.createDataFrame([("q", "term5 common")], "query_id string, query string"), retrieval.lexical_index(docs, "id", "t"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(term" not in plan and scored.count() == 200
+
+
+def test_hybrid_and_diverse_search_with_filters(spark):
+    rng = random.Random(2)
+    docs = [(f"c{i:02d}", " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu".split()) for _ in range(5)), {"agency": rng.choice(["Seoul  City", "Busan", ""])}) for i in range(40)]
+    d = spark.createDataFrame(docs, "id string, t string, metadata map<string,string>")
+    v = parsers.embed_column(d.select(F.col("id").alias("key"), F.col("t").alias("text")), embedder=parsers.term_embedder()).select("key", "vector")
+    q = parsers.embed_column(spark.createDataFrame([("q1", "alpha beta", {"agency": " seoul city "}), ("q2", "gamma", None), ("q3", "delta", {"agency": " "})], "query_id string, query string, filters map<string,string>"), "query", parsers.term_embedder())
+    ix = retrieval.lexical_index(d, "id", "t")
+    by = {i: m["agency"] for i, _, m in docs}
+    find = lambda name, **k: [(r.query_id, r.key, r["rank"]) for r in retrieval.search("openai", name, q, d, "id", ix, v, text="t", **k).collect()]
+    for name in ("similarity", "mmr"):
+        got = find(name)
+        assert all(by[k].startswith("Seoul") for i, k, _ in got if i == "q1") and {i for i, _, _ in got} == {"q1", "q2", "q3"}
+    assert len([1 for i, _, _ in find("similarity") if i == "q1"]) == 5 and len([1 for i, _, _ in find("mmr", fetch_k=10) if i == "q1"]) <= 5
+    # the plain filter of the lexical branch doesn't trim, so that ' seoul city ' matches nothing there
+    assert all(by[k].startswith("Seoul") for i, k, _ in find("hybrid") if i == "q1") and len(find("hybrid", use_rerank=True, final_k=2)) == 6
+    assert find("bm25") and not [1 for i, _, _ in find("bm25") if i == "q1"]
+    with pytest.raises(ValueError):
+        find("hybrid", use_rerank=True, final_k=None)
