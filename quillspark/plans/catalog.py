@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as ft
 from ..functions import text as fx
 from ..operators import chunking, evaluation, images, index, metadata, profile, reports, retrieval
-from ..session import materialize, table as t
+from ..session import materialize, stands, table as t
 from ..sources.parsers import embed_column, term_embedder
 
 QUERIES: dict = {}
@@ -48,9 +48,10 @@ _BUILT: dict[tuple, object] = {}
 
 
 def built(s, d, name: str, make):
-    """A table or an index that several queries read: made once per application and folder."""
+    """A table or an index that several queries read: made once per application and folder, and anew if its
+    table has been removed."""
     at = (s.sparkContext.applicationId, d, name)
-    if at not in _BUILT:
+    if at not in _BUILT or not stands(getattr(_BUILT[at], "postings", _BUILT[at])):
         _BUILT[at] = make()
     return _BUILT[at]
 
@@ -198,7 +199,11 @@ def _(s, d):
     return chunking.image_chunks(t(s, d, "image_records"))
 
 
-@query("section_chunks")
+@query("section_chunks", f"""
+with c as (select chunk_id as source_id, nullif(regexp_extract(text, '^\\[([^\\]\\n]{{1,40}})\\]\\n', 1), '') as title, {_SQUEEZE % "regexp_replace(text, '^\\[[^\\]\\n]{1,40}\\]\\n', '')"} as s from {_CHUNKS} where text is not null),
+n as (select *, case when length(s) = 0 then 0 when length(s) <= 800 then 1 else cast(ceil((length(s) - 800) / 680.0) as int) + 1 end as n from c),
+p as (select *, unnest(generate_series(1, n)) as i from n)
+select source_id, source_id || '_chunk_' || lpad(i::varchar, 4, '0') as chunk_id, title as section_title, coalesce('[' || title || ']' || chr(10), '') || substring(s, (i - 1) * 680 + 1, 800) as text from p""")
 def _(s, d):
     # a chunk that opens with a bracketed title is a section of its document
     c = chunks_once(s, d).where("text is not null")

@@ -95,6 +95,15 @@ def discard(df: DataFrame) -> None:
         _remove(_WRITTEN.pop(path), path)
 
 
+def stands(df: DataFrame) -> bool:
+    """Whether the table that `materialize` wrote for df is still there."""
+    path, sc = getattr(df, "_quillspark_path", None), df.sparkSession.sparkContext
+    if path is None:
+        return False
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
+
+
 @atexit.register
 def _remove_all() -> None:
     for path, spark in list(_WRITTEN.items()):

@@ -40,10 +40,19 @@ def test_against_sql(spark, db, name):
     assert sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["calculations", "clean_report", "table_chunks", "image_chunks", "section_chunks", "image_context", "table_roundtrip", "mmr_filtered"])
+@pytest.mark.parametrize("name", ["calculations", "clean_report", "table_chunks", "image_chunks", "table_roundtrip", "mmr_filtered"])
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_a_removed_table_is_made_again(spark):
+    from quillspark.session import discard
+
+    first = catalog.collection(spark, FOLDER)
+    assert catalog.collection(spark, FOLDER) is first
+    discard(first)
+    assert catalog.collection(spark, FOLDER).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
