@@ -101,3 +101,17 @@ def report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     out = targets.select("source", "target_share").join(got, "source", "left").crossJoin(F.broadcast(all_of))  # one row
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("source", "target_share", (F.coalesce("n_tokens", F.lit(0)) / F.col("total")).alias("actual_share"), zero("n_rows"), zero("n_tokens"), zero("epochs"))
+
+
+def checks(mixture: DataFrame, targets: DataFrame, documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(source, share_met, repeats_met) of every target source: whether its tokens are its share of all, but for
+    the one document at its cut that doesn't fit any more, which its largest one bounds, and whether no document
+    comes oftener than max_repeats allows, or twice in an epoch."""
+    largest = token_counts(documents.where("source is not null"), tokenizer).groupBy("source").agg(F.max("n_tokens").alias("most"))
+    got = mixture.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("epoch").alias("epochs"))
+    rows = mixture.groupBy("source", "doc_id", "epoch").agg(F.count("*").alias("k")).groupBy("source").agg(F.max("k").alias("k"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    x = targets.select("source", "target_share", "max_repeats").join(got, "source", "left").join(rows, "source", "left").join(largest, "source", "left")
+    total = x.agg(F.sum(zero("n")).alias("total"), F.sum(zero("most")).alias("cuts"))
+    near = F.abs(zero("n") - F.col("target_share") * F.col("total")) <= zero("most") + F.col("target_share") * F.col("cuts") + 1
+    return x.crossJoin(F.broadcast(total)).select("source", near.alias("share_met"), ((zero("epochs") <= F.col("max_repeats")) & (zero("k") <= 1)).alias("repeats_met"))  # one row

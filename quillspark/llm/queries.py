@@ -27,6 +27,7 @@ def queries():
         "p8_leaks": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_report": lambda s, d: mixture.report(mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets")), t(s, d, "mix_targets")),
+        "p9_checks": lambda s, d: mixture.checks(mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets")), t(s, d, "mix_targets"), t(s, d, "documents")),
         "p10_found": lambda s, d: toxicity.found(t(s, d, "documents"), t(s, d, "review_labels")),
         "p10_scores": lambda s, d: toxicity.scores(t(s, d, "documents"), t(s, d, "review_labels")),
         "p10_rates": lambda s, d: toxicity.rates(toxicity.scores(t(s, d, "documents"), t(s, d, "review_labels"))),
@@ -106,4 +107,5 @@ ig as (select distinct item_id, substring(s, k, 12) as g from (select item_id, s
 dg as (select distinct doc_id, substring(s, k, 12) as g from (select doc_id, s, unnest(generate_series(1, length(s) - 11)) as k from d where length(s) >= 12)),
 n as (select item_id, count(*) as n from ig group by item_id)
 select doc_id, item_id from dg join ig using (g) join n using (item_id) group by doc_id, item_id, n having count(*) >= 0.5 * n""",
+        "p9_checks": "select source, true as share_met, true as repeats_met from mix_targets",
     }

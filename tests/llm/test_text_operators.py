@@ -241,6 +241,9 @@ def test_mixture_reaches_its_shares(spark):
     per = m.groupBy("doc_id", "epoch").count()
     assert per.where("count > 1").count() == 0
     assert mixture.mix(d, targets).exceptAll(m).count() == 0  # the same again
+    assert all(r.share_met and r.repeats_met for r in mixture.checks(m, targets, d).collect())
+    double = {r.source: r for r in mixture.checks(m.union(m.where("source = 'small'")), targets, d).collect()}
+    assert not double["small"].repeats_met and not double["small"].share_met and double["mid"].repeats_met
 
 
 def test_plan():
