@@ -62,3 +62,8 @@ def test_entry(spark):
 def test_scored_pairs_are_not_exchanged(spark, name):
     plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "partial_sum" not in plan
+
+
+def test_context_leaves_pairs_and_texts_where_they_are(spark):
+    plan = catalog.queries()["context_blocks"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "partial_sum" not in plan
