@@ -58,7 +58,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "lexical_topk", "bm25_filtered", "hybrid_topk", "hybrid_filtered"])
+@pytest.mark.parametrize("name", ["bm25_topk", "lexical_topk", "bm25_filtered", "hybrid_topk", "hybrid_filtered", "rerank_topk"])
 def test_scored_pairs_are_not_exchanged(spark, name):
     plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "partial_sum" not in plan
